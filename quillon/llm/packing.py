@@ -88,6 +88,6 @@ def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 65536) -> D
     first = F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = cut(counts.select("bucket", "_part", first.alias("_first")))  # at most buckets * PARTS rows
     w = Window.partitionBy("bucket", "_part").orderBy(F.col("doc_id").asc_nulls_last(), "n_tokens")
-    out = base.withColumn("_at", F.row_number().over(w) - 1).join(F.broadcast(counts), ["bucket", "_part"])
+    out = base.withColumn("_at", F.row_number().over(w) - 1).join(F.broadcast(counts), ["bucket", "_part"], "left")
     rank, cap = F.col("_first") + F.col("_at"), F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div greatest(bucket_tokens, 1)"))
     return out.withColumn("batch", (rank - rank % cap).cast("long")).withColumn("slot", (rank % cap).cast("int")).select(*(F.col(f"`{c}`") for c in kept), "n_tokens", "bucket", "bucket_tokens", (F.col("batch") / cap).cast("long").alias("batch"), "slot", (F.col("bucket_tokens") - F.col("n_tokens")).alias("pad_tokens"))
