@@ -8,7 +8,9 @@ over all tasks. A set x of n shingles linked with any other shares at least o =
 at least l shingles within their first n - o + l each (the l-prefix). Each document chooses its l from 1 to 4 by estimated
 cost: the postings that its prefix meets plus the verification of the candidates that share l of them. Every prefix shingle
 carries the smallest l that includes it; a pair is counted under the smaller of its two l, and is verified only when it shares
-so many.
+so many. Where more than 64 classes may share a shingle, its postings carry 512 parities (bit i: whether the set holds an odd
+number of hashes of class i); two sets whose parities differ in h bits differ in h shingles at least, so many pairs of a large
+group of near copies are ruled out without reading their sets.
 
 Two rounds give the components exactly. First, documents that share one of three minimum hashes are compared with one pivot of
 that group (a star, never all pairs). Then the prefix join proposes only pairs whose components still differ; so a large group of
@@ -36,6 +38,7 @@ U = np.uint64
 CELL_BITS = 22
 STARS = 3
 MOST_L = 4
+LONG = 64
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -78,6 +81,11 @@ def sign_documents(k: int):
     return run
 
 
+def parities(s: np.ndarray) -> bytes:
+    odd = np.bincount((mix(s ^ U(0x2545F491)) & U(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def choose_l(estimate: np.ndarray, n: int, base: int, most: int) -> int:
     """The l of the least estimated cost; estimate: frequencies of the shingles in prefix order."""
     met = np.cumsum(np.maximum(estimate[: base + most - 1] - 1, 0))
@@ -87,13 +95,15 @@ def choose_l(estimate: np.ndarray, n: int, base: int, most: int) -> int:
 
 
 def index_prefixes(k: int, percent: int, cells):
-    """Rows (token, fp, n, level, l) of each class that a task meets."""
+    """Rows (token, fp, n, level, l, parity) of each class that a task meets; parity is null where few share the token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = cells.value, set()
+        crowd = max(LONG, 4 * int(table.mean()))
         for batch in blocks(batches):
             block = Block(batch.column("text"), lower=True)
             out: list[list[np.ndarray]] = [[], [], [], [], []]
+            odd: list[bytes | None] = []
             for s in block.shingles(block.hashes(), k):
                 n = len(s)
                 if not n or (fp := fingerprint(s)) in seen:
@@ -113,9 +123,12 @@ def index_prefixes(k: int, percent: int, cells):
                 if len(prefix):
                     for x, v in zip(out, (s[prefix], np.full(len(prefix), fp, U), np.full(len(prefix), n), level, np.full(len(prefix), l)), strict=True):
                         x.append(v)
+                    many = estimate[prefix] > crowd
+                    mark = parities(s) if many.any() else None
+                    odd += [mark if x else None for x in many.tolist()]
             if out[0]:
                 c = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays([signed(c[0]), signed(c[1]), pa.array(c[2].astype(np.int32)), pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32))], ["token", "fp", "n", "level", "l"])
+                yield pa.RecordBatch.from_arrays([signed(c[0]), signed(c[1]), pa.array(c[2].astype(np.int32)), pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32)), pa.array(odd, pa.binary())], ["token", "fp", "n", "level", "l", "parity"])
 
     return run
 
@@ -123,21 +136,29 @@ def index_prefixes(k: int, percent: int, cells):
 def propose(percent: int):
     """From index rows sorted by token: (a, b, l) for each pair of different components that share a token of its prefixes."""
 
-    def pairs(fp: np.ndarray, n: np.ndarray, level: np.ndarray, l: np.ndarray, comp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Runs start to end of equal tokens."""
-        def emit(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """table: whole runs of equal tokens."""
+        token, fp, n, level, l, comp = (table[x].to_numpy() for x in ("token", "fp", "n", "level", "l", "comp"))
+
+        def emit(i: np.ndarray, j: np.ndarray, odd: np.ndarray | None = None, start: int = 0) -> Iterator[pa.RecordBatch]:
             both = np.minimum(l[i], l[j])
             on = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.maximum(level[i], level[j]) <= both) & (fp[i] != fp[j])
             i, j, both = i[on], j[on], both[on]
+            if odd is not None and len(i):
+                apart = np.bitwise_count(odd[i - start] ^ odd[j - start]).sum(axis=1, dtype=np.int64)
+                total = n[i].astype(np.int64) + n[j]
+                on = 100 * (total - apart) >= percent * (total + apart)
+                i, j, both = i[on], j[on], both[on]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(both)], ["a", "b", "l"])
 
-        size = ends - starts
+        starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
+        size = np.diff(np.append(starts, len(token)))
         for m in np.unique(size):
             if m < 2:
                 continue
             at = starts[size == m]
-            if m <= 64:
+            if m <= LONG:
                 x, y = np.triu_indices(m, 1)
                 step = max(1, 2_000_000 // len(x))
                 for k in range(0, len(at), step):
@@ -147,32 +168,36 @@ def propose(percent: int):
                 last = a + m
                 if comp[a] == comp[last - 1]:
                     continue
+                cells = table["parity"].slice(a, m).to_pylist()
+                odd = None if None in cells else np.frombuffer(b"".join(cells), np.uint64).reshape(m, -1)
                 after = a + np.searchsorted(comp[a:last], comp[a:last], "right")
                 lengths = last - after
-                i = np.arange(a, last)
+                i, total = np.arange(a, last), np.cumsum(lengths)
                 done = 0
                 while done < m:
-                    upto = max(done + 1, int(np.searchsorted(np.cumsum(lengths[done:]), 2_000_000, "right")) + done)
+                    upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 400_000, "right")))
                     part = lengths[done:upto]
                     first = np.repeat(after[done:upto], part)
                     inside = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-                    yield from emit(np.repeat(i[done:upto], part), first + inside)
+                    yield from emit(np.repeat(i[done:upto], part), first + inside, odd, a)
                     done = upto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        held: list[pa.RecordBatch] = []  # the last token may go on in the next batch
         for batch in batches:
-            c = [np.asarray(batch.column(x)) for x in ("token", "fp", "n", "level", "l", "comp")]
-            if not len(c[0]):
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy()
+            cut_at = int(np.searchsorted(token, token[-1]))
+            if not cut_at and held and held[-1].column("token")[-1].as_py() == token[-1]:
+                held.append(batch)
                 continue
-            c = c if rest is None else [np.concatenate(x) for x in zip(rest, c, strict=True)]
-            cut_at = int(np.searchsorted(c[0], c[0][-1]))  # the last token may go on in the next batch
-            done, rest = [x[:cut_at] for x in c], [x[cut_at:] for x in c]
-            if cut_at:
-                edge = np.flatnonzero(np.diff(done[0], prepend=done[0][0] - 1))
-                yield from pairs(*done[1:6], edge, np.append(edge[1:], cut_at))
-        if rest is not None and len(rest[0]) > 1:
-            yield from pairs(*rest[1:6], np.array([0]), np.array([len(rest[0])]))
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks()
+            held = [batch.slice(cut_at)]
+            if len(whole):
+                yield from pairs(whole)
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -234,9 +259,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         sets = scratch.table(sets_of(docs, asked, k))
         links = scratch.table(verified(stars, sets, percent))
         roots = components(links)
-        index = docs.select("text").mapInArrow(index_prefixes(k, percent, cells), "token long, fp long, n int, level int, l int")
+        index = docs.select("text").mapInArrow(index_prefixes(k, percent, cells), "token long, fp long, n int, level int, l int, parity binary")
         labels = maybe_broadcast(roots.select(F.col("node").alias("fp"), "root"))
-        index = index.join(labels, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).select("token", "fp", "n", "level", "l", "comp")
+        index = index.join(labels, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).select("token", "fp", "n", "level", "l", "comp", "parity")
         index = index.repartition(F.col("token")).sortWithinPartitions("token", "comp", "fp")
         found = index.mapInArrow(propose(percent), "a long, b long, l int").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"))
         found = scratch.table(found.filter("shared >= l").select("a", "b"))
