@@ -13,7 +13,7 @@ number of hashes of class i); two sets whose parities differ in h bits differ in
 group of near copies are ruled out without reading their sets.
 
 Two rounds give the components exactly. First, documents that share one of three minimum hashes are compared with one pivot of
-that group (a star, never all pairs). Then the prefix join proposes only pairs whose components still differ; so a large group of
+that group, and in large groups with three more in turn (stars, never all pairs). Then the prefix join proposes only pairs whose components still differ; so a large group of
 near copies, joined by the stars, isn't compared within itself, and every link between different components is verified.
 
 Defined results: without words or text the set is empty and the document is linked with nothing (component_id is its own
@@ -37,6 +37,7 @@ from .textkit import Block, blocks, mix, signed
 U = np.uint64
 CELL_BITS = 22
 STARS = 3
+PIVOTS = 4
 MOST_L = 4
 LONG = 64
 
@@ -250,15 +251,22 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         signs = both.filter("part is null")
         cells = spark.sparkContext.broadcast(sum_arrays(both.filter("part is not null").select("part", "cells"), "int32", 1 << CELL_BITS))
         classes = scratch.table(signs.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(STARS))))
-        # Stars: each class of a minimum-hash group against the group's smallest class.
+        # Stars: each class of a minimum-hash group against one pivot of the group; large groups get further pivots, for those
+        # of its classes that aren't yet in the pivot's component.
         keys = classes.select("fp", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), f"m{i}") for i in range(STARS)))).alias("key"))
-        pivots = keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
-        close = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
-        stars = scratch.table(keys.join(pivots, "key").filter((F.col("fp") != F.col("p.fp")) & close).select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct())
-        asked = stars.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        sets = scratch.table(sets_of(docs, asked, k))
-        links = scratch.table(verified(stars, sets, percent))
-        roots = components(links)
+        grouped = scratch.table(keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"))
+        sets = scratch.table(sets_of(docs, grouped.select("fp").distinct(), k))
+        links = roots = None
+        for turn in range(PIVOTS):
+            rows = grouped if turn == 0 else grouped.filter(F.col("c") > 16).join(maybe_broadcast(roots.select(F.col("node").alias("fp"), "root")), "fp", "left")
+            rows = rows.withColumn("root", F.lit(None).cast("long") if turn == 0 else F.coalesce("root", "fp"))
+            pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "n", "root")).alias("p"))
+            close = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+            apart = (F.col("fp") != F.col("p.fp")) & (F.lit(turn == 0) | (F.col("root") != F.col("p.root")))
+            pairs = rows.join(pivots, "key").filter(apart & close).select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
+            found = scratch.table(verified(pairs, sets, percent))
+            links = found if links is None else links.unionAll(found)
+            roots = components(links)
         index = docs.select("text").mapInArrow(index_prefixes(k, percent, cells), "token long, fp long, n int, level int, l int, parity binary")
         labels = maybe_broadcast(roots.select(F.col("node").alias("fp"), "root"))
         index = index.join(labels, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).select("token", "fp", "n", "level", "l", "comp", "parity")
