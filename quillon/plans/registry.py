@@ -1,6 +1,657 @@
-def queries():
-    return {}
+"""Queries over the test tables and, where SQL can express one, its SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import graph as G
+from ..operators import models as M
+from ..operators import pairwise as P
+from ..operators import sampling as SA
+from ..operators import schema as S
+from ..operators import stats as ST
+from ..operators import windows as W
+from . import bench
+from .trips import DAILY, EDGES, TRIPS, daily, edges, t, trips
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+
+
+# --- routes, joins, upserts
+
+
+@query(f"WITH {TRIPS} SELECT src, dst, count(*) AS n, round(sum(coalesce(delay, 0)), 4) AS total, round(avg(coalesce(delay, 0)), 6) AS mean, round(avg(distance), 6) AS distance FROM trips GROUP BY src, dst")
+def route_agg(spark, d):
+    return G.routes(trips(spark, d)).select("src", "dst", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {TRIPS}, r AS (SELECT src, dst, count(*) AS n, round(avg(coalesce(delay, 0)), 2) AS mean FROM trips GROUP BY src, dst) SELECT * FROM r WHERE n >= 10 ORDER BY mean DESC, src, dst LIMIT 20")
+def top_routes_delay(spark, d):
+    r = G.routes(trips(spark, d)).filter("n >= 10").select("src", "dst", "n", F.round("mean", 2).alias("mean"))
+    return r.orderBy(F.col("mean").desc(), "src", "dst").limit(20)
+
+
+@query(f"WITH {TRIPS}, r AS (SELECT src, dst, count(*) AS n FROM trips GROUP BY src, dst) SELECT n, count(*) AS routes FROM r GROUP BY n")
+def routes_per_count(spark, d):
+    return trips(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("routes"))
+
+
+@query(f"WITH {TRIPS} SELECT src, dst, count(*) AS n, sum(coalesce(delay, 0)) AS total, arg_max(day, id) AS last_row_day, max(day) AS last_day, arg_min(distance, id) AS distance FROM trips GROUP BY src, dst")
+def upsert_routes(spark, d):
+    return G.upsert_routes(trips(spark, d), "id")
+
+
+@query("SELECT 'customer without order' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order without line', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def key_gaps(spark, d):
+    o = t(spark, d, "orders")
+    a = t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.lit("customer without order").alias("side"), F.count("*").alias("n"))
+    return a.unionAll(o.join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").agg(F.lit("order without line").alias("side"), F.count("*").alias("n")))
+
+
+@query("SELECT n_name AS k FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) EXCEPT SELECT n_name FROM nation WHERE n_regionkey = 1")
+def set_ops(spark, d):
+    n = t(spark, d, "nation")
+    return n.join(t(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select(F.col("n_name").alias("k")).exceptAll(n.filter("n_regionkey = 1").select("n_name")).distinct()
+
+
+@query("SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer")
+def distinct_union(spark, d):
+    return t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).union(t(spark, d, "customer").select("c_nationkey")).distinct()
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
+def dedupe_keep_first(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t(spark, d, "orders").withColumn("r", F.row_number().over(w)).filter("r = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT n_name, count(o_orderkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 GROUP BY n_name")
+def optional_match(spark, d):
+    o = t(spark, d, "orders").filter("o_totalprice > 200000")
+    return t(spark, d, "nation").join(t(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("n_name").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("SELECT 'nation' AS k, count(*) = count(DISTINCT n_nationkey) AS is_unique FROM nation UNION ALL SELECT 'line', count(*) = count(DISTINCT l_orderkey) FROM lineitem")
+def unique_keys(spark, d):
+    one = lambda name, k, c: t(spark, d, name).agg(F.lit(k).alias("k"), (F.count("*") == F.count_distinct(c)).alias("is_unique"))
+    return one("nation", "nation", "n_nationkey").unionAll(one("lineitem", "line", "l_orderkey"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS id FROM orders")
+def surrogate_ids(spark, d):
+    return S.surrogate_id(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("id").cast("long").alias("id"))
+
+
+# --- casts, cleaning, scalar functions
+
+
+@query("SELECT upper(trim(p_brand)) AS brand, trim(p_name) AS name, TRY_CAST(replace(p_type, 'x', '') AS DOUBLE) AS type_number, CAST(p_size AS DOUBLE) AS size, p_size % 2 <> 0 AS odd FROM part")
+def schema_clean(spark, d):
+    spec = {"brand": S.ColumnSpec("code"), "name": S.ColumnSpec("string"), "type_number": S.ColumnSpec("numeric", lambda c: c * 1), "size": S.ColumnSpec("numeric"), "odd": S.ColumnSpec("boolean"), "absent": S.ColumnSpec("code")}
+    return S.apply_schema(t(spark, d, "part").select(F.lower(F.concat(F.lit(" "), "p_brand")).alias("brand"), F.concat("p_name", F.lit("  ")).alias("name"), F.replace("p_type", F.lit("x"), F.lit("")).alias("type_number"), F.col("p_size").cast("string").alias("size"), (F.col("p_size") % 2).alias("odd")), spec)
+
+
+@query("""WITH x AS (SELECT DISTINCT l_partkey % 2500 AS v FROM lineitem), y AS (SELECT v, CASE WHEN v = 2400 THEN 0 ELSE v END AS n FROM x)
+SELECT v, CASE WHEN n <= 2359 AND n % 100 <= 59 THEN lpad(CAST(n // 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') END AS clock FROM y""")
+def hhmm_parse(spark, d):
+    return t(spark, d, "lineitem").select((F.col("l_partkey") % 2500).alias("v")).distinct().select("v", C.hhmm(F.col("v")).alias("clock"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 31 + 1 <= day(last_day(make_date(2015, CAST(o_orderkey % 12 + 1 AS INT), 1))) THEN make_date(2015, CAST(o_orderkey % 12 + 1 AS INT), CAST(o_orderkey % 31 + 1 AS INT)) END AS day FROM orders")
+def date_parts(spark, d):
+    k = F.col("o_orderkey")
+    return t(spark, d, "orders").select("o_orderkey", C.date_of(F.lit(2015), (k % 12 + 1).cast("int"), (k % 31 + 1).cast("int")).alias("day"))
+
+
+@query("""SELECT c_custkey, CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), [CAST(CAST('0x' || substr(sha256(c_name), 8 * k + 1, 8) AS UBIGINT) AS HUGEINT) for k in range(8)]),
+(a, x) -> (a * 4294967296 + x) % 9223372036854775807) AS BIGINT) AS h FROM customer""")
+def sha_int64(spark, d):
+    return t(spark, d, "customer").select("c_custkey", C.sha_int64(F.col("c_name")).alias("h"))
+
+
+@query(f"""WITH {TRIPS}, x AS (SELECT id, CASE WHEN reason IS NULL THEN (greatest(coalesce(arr, 0), 0) + greatest(coalesce(dep, 0), 0)) / 2 END AS v, reason, diverted FROM trips)
+SELECT id, CASE WHEN reason IS NOT NULL OR diverted THEN (SELECT max(v) FROM x) ELSE v END AS total_delay FROM x""")
+def delay_policy_mean(spark, d):
+    x = trips(spark, d).withColumn("v", F.when(F.col("reason").isNull(), (C.positive(F.col("arr")) + C.positive(F.col("dep"))) / 2))
+    return x.crossJoin(F.broadcast(x.agg(F.max("v").alias("m")))).select("id", F.when(F.col("reason").isNotNull() | F.col("diverted"), F.col("m")).otherwise(F.col("v")).alias("total_delay"))
+
+
+@query(f"""WITH {TRIPS}, x AS (SELECT id, year(day) AS y, reason, (CASE WHEN arr < 0 THEN 0 ELSE arr END) + (CASE WHEN dep < 0 THEN 0 ELSE dep END) AS v FROM trips), m AS (SELECT y, max(v) AS m FROM x GROUP BY y)
+SELECT id, CASE WHEN reason IS NOT NULL THEN m ELSE v END AS total_delay FROM x JOIN m USING (y)""")
+def delay_policy_sum(spark, d):
+    x = trips(spark, d).select("id", F.year("day").alias("y"), "reason", (C.clip_low(F.col("arr")) + C.clip_low(F.col("dep"))).alias("v"))
+    m = x.groupBy("y").agg(F.max("v").alias("m"))
+    return x.join(F.broadcast(m), "y").select("id", F.when(F.col("reason").isNotNull(), F.col("m")).otherwise(F.col("v")).alias("total_delay"))  # years are few
+
+
+@query(f"""WITH {TRIPS}, b AS (SELECT CASE WHEN dep < 0 THEN NULL WHEN dep < 4 THEN 'none' WHEN dep < 60 THEN 'short' WHEN dep < 400 THEN 'medium' ELSE 'long' END AS bin FROM trips)
+SELECT bin, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM b GROUP BY bin""")
+def bins_fixed(spark, d):
+    b = trips(spark, d).groupBy(C.binned(F.col("dep"), [0, 4, 60, 400, float("inf")], ["none", "short", "medium", "long"]).alias("bin")).agg(F.count("*").alias("n"))
+    return b.select("bin", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
+
+
+@query("""WITH m AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT CAST(least(greatest(ceil((p_retailprice - lo) / ((hi - lo) / 5)) - 1, 0), 4) AS INT) AS bin, count(*) AS n FROM part, m GROUP BY 1""")
+def bins_width(spark, d):
+    p = t(spark, d, "part")
+    m = p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    k = F.least(F.greatest(F.ceil((F.col("p_retailprice") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 5)) - 1, F.lit(0)), F.lit(4)).cast("int")
+    return p.crossJoin(F.broadcast(m)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(p_retailprice, [0, 0.25, 0.5, 0.75, 1]) AS e FROM part) SELECT CAST(CASE WHEN p_retailprice <= e[2] THEN 0 WHEN p_retailprice <= e[3] THEN 1 WHEN p_retailprice <= e[4] THEN 2 ELSE 3 END AS INT) AS bin, count(*) AS n FROM part, q GROUP BY 1""")
+def bins_quantile(spark, d):
+    p = t(spark, d, "part")
+    q = p.agg(F.percentile("p_retailprice", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e"))
+    return p.crossJoin(F.broadcast(q)).groupBy(C.right_bins(F.col("p_retailprice"), [F.col("e")[k] for k in range(5)]).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(CASE WHEN p_size >= 1 AND p_size <= 10 THEN 0 WHEN p_size > 10 AND p_size <= 25 THEN 1 WHEN p_size > 25 AND p_size <= 45 THEN 2 END AS INT) AS bin, count(*) AS n FROM part GROUP BY 1")
+def bins_domain(spark, d):
+    return t(spark, d, "part").groupBy(C.right_bins(F.col("p_size"), [1, 10, 25, 45]).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE l_returnflag END AS flag, nullif(l_returnflag, 'N') AS reason FROM lineitem")
+def value_map(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.mapped(F.col("l_returnflag"), {"A": "accepted", "R": "returned"}).alias("flag"), F.nullif("l_returnflag", F.lit("N")).alias("reason"))
+
+
+@query(r"SELECT count(*) FILTER (WHERE regexp_full_match(p_brand, '[A-Za-z]+#?\d+')) AS hits, sum(length(p_name)) AS chars, min(lpad(CAST(p_partkey AS VARCHAR), 8, '0')) AS first, count(DISTINCT p_name || ' > ' || p_brand) AS names FROM part")
+def strings(spark, d):
+    return t(spark, d, "part").agg(F.count_if(F.col("p_brand").rlike(r"^[A-Za-z]+#?\d+$")).alias("hits"), F.sum(F.length("p_name")).alias("chars"), F.min(F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("first"), F.count_distinct(F.concat("p_name", F.lit(" > "), "p_brand")).alias("names"))
+
+
+@query("SELECT p_partkey, round(sqrt(p_size), 6) AS a, round(sin(p_size) + cos(p_size), 6) AS b, round(ln(p_retailprice), 6) AS c, round(log2(p_size), 6) AS e, round(exp(p_size / 50.0), 6) AS f, abs(p_size - 25) AS g, p_partkey % 100 AS h FROM part")
+def maths(spark, d):
+    s = F.col("p_size")
+    return rounded(t(spark, d, "part").select("p_partkey", F.sqrt(s.cast("double")).alias("a"), (F.sin(s) + F.cos(s)).alias("b"), F.ln("p_retailprice").alias("c"), F.log2(s.cast("double")).alias("e"), F.exp(s / 50.0).alias("f"), F.abs(s - 25).alias("g"), (F.col("p_partkey") % 100).alias("h")))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day, epoch_us(ts) AS micros, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def dates_and_json(spark, d):
+    return t(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+# --- aggregates and statistics
+
+
+@query(f"""WITH {TRIPS}, l AS (SELECT 'dep' AS col, dep AS x FROM trips UNION ALL SELECT 'delay', delay FROM trips UNION ALL SELECT 'distance', distance FROM trips)
+SELECT col, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS max FROM l WHERE x IS NOT NULL GROUP BY col""")
+def describe(spark, d):
+    return rounded(ST.describe(trips(spark, d), ["dep", "delay", "distance"]))
+
+
+@query(f"""WITH {TRIPS}, c AS (SELECT carrier, count(*) AS n FROM trips GROUP BY 1) SELECT round(-sum(n / t * log2(n / t)) / log2(max(k)), 6) AS entropy FROM c, (SELECT sum(n) AS t, count(*) AS k FROM c)""")
+def entropy_carrier(spark, d):
+    return rounded(ST.entropy(trips(spark, d), "carrier"))
+
+
+@query("SELECT min(p_type) AS mode FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1 QUALIFY n = max(n) OVER ())")
+def mode_smallest(spark, d):
+    return t(spark, d, "part").agg(F.mode("p_type", True).alias("mode"))
+
+
+@query("SELECT CAST(make_timestamp(CAST(quantile_cont(epoch_us(o_orderdate), 0.5) AS BIGINT)) AS DATE) AS median, round((quantile_cont(epoch_us(o_orderdate), 0.75) - quantile_cont(epoch_us(o_orderdate), 0.25)) / 86400000000, 6) AS iqr_days FROM orders")
+def date_quantiles(spark, d):
+    u = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    q = t(spark, d, "orders").agg(F.percentile(u, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return q.select(F.timestamp_micros(F.col("q")[1].cast("long")).cast("date").alias("median"), F.round((F.col("q")[2] - F.col("q")[0]) / 86400000000, 6).alias("iqr_days"))
+
+
+@query(f"WITH {TRIPS} SELECT 'reason' AS col, count(*) - count(reason) AS missing FROM trips UNION ALL SELECT 'delay', count(*) - count(delay) FROM trips UNION ALL SELECT 'src', count(*) - count(src) FROM trips")
+def null_report(spark, d):
+    return ST.null_report(trips(spark, d), ["reason", "delay", "src"])
+
+
+@query(f"WITH {TRIPS} SELECT 'src' AS col, count(DISTINCT src) AS n FROM trips UNION ALL SELECT 'carrier', count(DISTINCT carrier) FROM trips UNION ALL SELECT 'reason', count(DISTINCT reason) FROM trips")
+def distinct_counts(spark, d):
+    row = trips(spark, d).agg(*(F.count_distinct(c).alias(c) for c in ("src", "carrier", "reason")))
+    return row.unpivot([], ["src", "carrier", "reason"], "col", "n")
+
+
+@query("SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS F, count(*) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
+def cross_tab(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().fillna(0)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def grouping_sets(spark, d):
+    return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("price"))
+
+
+@query("WITH x AS (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem) SELECT a, b, round(r, 6) AS r FROM x")
+def pearson(spark, d):
+    return rounded(ST.pearson(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part)
+SELECT 'p_size' AS a, 'p_retailprice' AS b, round(corr(a, b), 6) AS r FROM r""")
+def spearman(spark, d):
+    return rounded(ST.spearman(t(spark, d, "part"), ["p_size", "p_retailprice"]))
+
+
+@query("""WITH v AS (SELECT l_quantity AS x, count(*) FILTER (WHERE l_returnflag = 'A') AS p, count(*) FILTER (WHERE l_returnflag = 'R') AS q FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+c AS (SELECT x, sum(p) OVER w / sum(p) OVER () AS fp, sum(q) OVER w / sum(q) OVER () AS fq, lead(x) OVER (ORDER BY x) - x AS dx FROM v WINDOW w AS (ORDER BY x))
+SELECT 'l_quantity' AS col, round(sum(abs(fp - fq) * dx), 6) AS distance FROM c""")
+def wasserstein_cols(spark, d):
+    x = t(spark, d, "lineitem")
+    return rounded(ST.wasserstein(x.filter("l_returnflag = 'A'"), x.filter("l_returnflag = 'R'"), ["l_quantity"]))
+
+
+@query("SELECT CAST(least(floor((p_retailprice - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, count(*) AS n FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) GROUP BY 1")
+def hist(spark, d):
+    return ST.histogram(t(spark, d, "part"), "p_retailprice", 30)
+
+
+@query("""WITH s AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) - 1 AS i, count(*) OVER () AS n FROM supplier), c AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) - 1 AS i, count(*) OVER () AS n FROM customer), k AS (SELECT CAST(unnest(range(50)) AS INT) AS k)
+SELECT k, s.x AS a, c.x AS b FROM k JOIN s ON s.i = round_even(k / 49.0 * (s.n - 1), 0) JOIN c ON c.i = round_even(k / 49.0 * (c.n - 1), 0)""")
+def qq_pairs(spark, d):
+    return ST.qq_pairs(t(spark, d, "supplier").select(F.col("s_acctbal").alias("v")), t(spark, d, "customer").select(F.col("c_acctbal").alias("v")), "v", 50)
+
+
+@query("SELECT p_partkey, round((p_size - m) / s, 6) AS p_size, round((p_retailprice - m2) / s2, 6) AS p_retailprice FROM part, (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part)")
+def standard_scaling(spark, d):
+    return rounded(ST.scaled(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]))
+
+
+@query("SELECT p_partkey, round((p_size - m) / q, 6) AS p_size FROM part, (SELECT median(p_size) AS m, quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25) AS q FROM part)")
+def robust_scaling(spark, d):
+    return rounded(ST.scaled(t(spark, d, "part").select("p_partkey", "p_size"), ["p_size"], "robust"))
+
+
+# --- encoding, sampling
+
+
+@query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS p_type FROM part")
+def encode_codes(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_type")
+    return S.encode(p, "p_type", S.dictionary(p, "p_type")).select("p_partkey", F.col("p_type").cast("int").alias("p_type"))
+
+
+@query("SELECT p_partkey, p_type FROM part")
+def encode_rollback(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_type")
+    codes = S.dictionary(p, "p_type")
+    return S.decode(S.encode(p, "p_type", codes).withColumn("p_type", F.col("p_type") + 0.2), "p_type", codes)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def dummies_rollback(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return S.undo_dummies(S.dummies(x, "l_returnflag", ["A", "N", "R"]), "l_returnflag", ["A", "N", "R"])
+
+
+@query("SELECT CASE WHEN m > 1e17 THEN 'ns' WHEN m > 1e14 THEN 'us' WHEN m > 1e11 THEN 'ms' ELSE 's' END AS unit FROM (SELECT median(abs(epoch_us(ts))) AS m FROM events)")
+def epoch_unit(spark, d):
+    return t(spark, d, "events").agg(S.epoch_unit(F.unix_micros(F.col("ts").cast("timestamp"))).alias("unit"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|667'), o_orderkey LIMIT 100")
+def n_sample(spark, d):
+    return SA.sample_rows(t(spark, d, "orders"), ["o_orderkey"], 100, 667).select("o_orderkey", "o_totalprice")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|667'), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderkey, o_orderstatus, CASE WHEN r <= floor(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM r""")
+def stratified_split(spark, d):
+    return SA.stratified_split(t(spark, d, "orders"), ["o_orderkey"], "o_orderstatus", 0.2, 667).select("o_orderkey", "o_orderstatus", "part")
+
+
+@query()
+def representative_sample(spark, d):
+    return SA.most_representative(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], ["o_totalprice"], 200, 3, 667)[0]
+
+
+# --- windows and series
+
+
+@query(f"WITH {DAILY} SELECT t, round(avg(x) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS m FROM daily")
+def rolling_centered(spark, d):
+    return daily(spark, d).select("t", F.round(W.rolling_mean("x", "t", 7, True, 1), 4).alias("m"))
+
+
+@query(f"WITH {DAILY} SELECT t, round(CASE WHEN count(x) OVER w = 365 THEN avg(x) OVER w END, 4) AS m FROM daily WINDOW w AS (ORDER BY t ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)")
+def rolling_trailing(spark, d):
+    return daily(spark, d).select("t", F.round(W.rolling_mean("x", "t", 365), 4).alias("m"))
+
+
+@query(f"WITH {DAILY}, i AS (SELECT t, x, row_number() OVER (ORDER BY t) - count(*) OVER () AS k FROM daily) SELECT t, round(sum(x * power(2, k / 365.0)) OVER w / sum(power(2, k / 365.0)) OVER w, 4) AS ewm FROM i WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
+def ewm(spark, d):
+    return W.ewm_mean(daily(spark, d), "x", "t", 365.0).select("t", F.round("ewm", 4).alias("ewm"))
+
+
+@query(f"WITH {DAILY}, g AS (SELECT t, CASE WHEN day(t) % 7 <> 0 AND t > DATE '1995-01-03' THEN x END AS x FROM daily) SELECT t, coalesce(last_value(x IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM g")
+def ffill_bfill(spark, d):
+    g = daily(spark, d).withColumn("x", F.when((F.dayofmonth("t") % 7 != 0) & (F.col("t") > F.lit("1995-01-03").cast("date")), F.col("x")))
+    return g.select("t", W.fill_both(F.col("x"), "t").alias("x"))
+
+
+@query(f"WITH {DAILY} SELECT t, lag(x, 45) OVER (ORDER BY t) AS before FROM daily")
+def lag_shift(spark, d):
+    return daily(spark, d).select("t", F.lag("x", 45).over(W.over("t")).alias("before"))
+
+
+@query(f"""WITH {DAILY}, g AS (SELECT t, CASE WHEN day(t) % 7 <> 0 THEN x END AS x, row_number() OVER (ORDER BY t) - count(*) OVER () AS k FROM daily),
+r AS (SELECT t, x, CASE WHEN count(x) OVER w7 >= 20 THEN avg(x) OVER w7 END AS roll, sum(x * power(2, k / 30.0)) OVER w / sum(CASE WHEN x IS NOT NULL THEN power(2, k / 30.0) END) OVER w AS ewm FROM g WINDOW w7 AS (ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT t, coalesce(x, lag(roll, 45) OVER (ORDER BY t), ewm) AS x FROM r)
+SELECT t, round(coalesce(last_value(x IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS x FROM c""")
+def fill_cascade(spark, d):
+    g = daily(spark, d).withColumn("x", F.when(F.dayofmonth("t") % 7 != 0, F.col("x")))
+    return W.fill_cascade(g, "x", "t", 20, 45, 30.0).select("t", F.round("x", 4).alias("x"))
+
+
+@query(f"""WITH {DAILY}, a AS (SELECT t, x, row_number() OVER (ORDER BY t) - 1 AS i, CASE WHEN count(*) OVER w = 365 THEN avg(x) OVER w END AS trend FROM daily WINDOW w AS (ORDER BY t ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
+s AS (SELECT i % 365 AS p, avg(x - trend) AS s FROM a GROUP BY 1) SELECT t, round(trend, 3) AS trend, round(s - (SELECT avg(s) FROM s), 3) AS seasonal, round(x - trend - (s - (SELECT avg(s) FROM s)), 3) AS resid FROM a JOIN s ON i % 365 = p""")
+def decompose(spark, d):
+    return rounded(W.decompose(daily(spark, d), "x", "t", 365).select("t", "trend", "seasonal", "resid"), 3)
+
+
+@query(f"WITH {DAILY}, i AS (SELECT t, x, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM daily) SELECT t, CASE WHEN i < floor((n - 360) * 0.8) + 180 THEN 'train' ELSE 'test' END AS part FROM i WHERE i >= 180 AND i < n - 180")
+def series_split(spark, d):
+    return W.split_series(daily(spark, d), "t", 180).select("t", "part")
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT row_number() OVER (ORDER BY t) AS i, x - (SELECT avg(x) FROM daily) AS d FROM daily), h AS (SELECT unnest(range(41)) AS lag)
+SELECT CAST(lag AS INT) AS lag, round(sum(a.d * b.d) / (SELECT sum(d * d) FROM s), 6) AS r FROM h JOIN s a ON true JOIN s b ON b.i = a.i - lag GROUP BY lag""")
+def acf(spark, d):
+    return rounded(W.acf(daily(spark, d), "x", "t", 40))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT row_number() OVER (ORDER BY t) AS i, x - (SELECT avg(x) FROM daily) AS d FROM daily), h AS (SELECT unnest(range(1, 11)) AS lag), n AS (SELECT count(*) AS n FROM daily),
+r AS (SELECT lag, sum(a.d * b.d) / (SELECT sum(d * d) FROM s) AS r FROM h JOIN s a ON true JOIN s b ON b.i = a.i - lag GROUP BY lag) SELECT CAST(lag AS INT) AS lag, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (ORDER BY lag), 4) AS q FROM r, n""")
+def ljung_box_q(spark, d):
+    return W.ljung_box(daily(spark, d), "x", "t", 10).select("lag", F.round("q", 4).alias("q"))
+
+
+@query()
+def adf(spark, d):
+    return M.adf(daily(spark, d), "x", "t", 5)
+
+
+@query()
+def ar_forecast(spark, d):
+    return M.ar_forecast(daily(spark, d), "x", "t", 22, 30)
+
+
+# --- graph
+
+
+@query(f"WITH {EDGES}, v AS (SELECT n_name AS id FROM nation) SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS out_degree, (SELECT count(*) FROM edges WHERE dst = id) AS in_degree, CAST((SELECT coalesce(sum(n), 0) FROM edges WHERE src = id) AS BIGINT) AS weighted FROM v")
+def degrees(spark, d):
+    return G.degrees(t(spark, d, "nation").select(F.col("n_name").alias("id")), edges(spark, d))
+
+
+SCORES = f"""{TRIPS}, v AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS flights, avg(delay) AS late, avg(distance) AS far FROM trips GROUP BY 1),
+f AS (SELECT id, ((flights - min(flights) OVER ()) / (max(flights) OVER () - min(flights) OVER ()) + (late - min(late) OVER ()) / (max(late) OVER () - min(late) OVER ()) + (far - min(far) OVER ()) / (max(far) OVER () - min(far) OVER ())) / 3 AS fragility FROM v)"""
+
+
+def _scores(spark, d):
+    v = trips(spark, d).groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("flights"), F.avg("delay").alias("late"), F.avg("distance").alias("far"))
+    return G.fragility(v, ["flights", "late", "far"])
+
+
+@query(f"WITH {SCORES} SELECT id, round(fragility, 6) AS fragility, CAST(dense_rank() OVER (ORDER BY round(fragility, 6) DESC) AS INT) AS rank FROM f")
+def fragility(spark, d):
+    return _scores(spark, d).select("id", F.round("fragility", 6).alias("fragility")).withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("fragility").desc())))
+
+
+TOP2 = SCORES + ", g AS (SELECT n_regionkey AS region, id, fragility, row_number() OVER (PARTITION BY n_regionkey ORDER BY fragility DESC, id) AS rank FROM f JOIN nation ON id = n_name), k AS (SELECT * FROM g WHERE rank <= 2 AND region IN (SELECT region FROM g GROUP BY 1 HAVING count(*) > 4))"
+
+
+def _top2(spark, d):
+    g = _scores(spark, d).join(t(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("region")), "id")
+    return G.top_per_group(g, "region", "fragility", "id", 2, 4)
+
+
+@query(f"WITH {TOP2} SELECT region, id, CAST(rank AS INT) AS rank FROM k")
+def top2_per_group(spark, d):
+    return _top2(spark, d).select("region", "id", "rank")
+
+
+@query(f"WITH {TOP2} SELECT src, dst, a.region, count(*) AS n, round(sum(delay), 4) AS total FROM trips JOIN k a ON src = a.id JOIN k b ON dst = b.id WHERE src <> dst GROUP BY ALL")
+def critical_routes(spark, d):
+    k = _top2(spark, d).select("id", "region")
+    x = trips(spark, d).join(k.withColumnRenamed("id", "src"), "src").join(k.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return x.filter("src <> dst").groupBy("src", "dst", "region").agg(F.count("*").alias("n"), F.round(F.sum("delay"), 4).alias("total"))
+
+
+@query(f"WITH {EDGES} SELECT n_name AS id FROM nation WHERE n_name <> 'FRANCE' AND NOT EXISTS (SELECT 1 FROM edges WHERE src = 'FRANCE' AND dst = n_name)")
+def not_connected(spark, d):
+    e = edges(spark, d).filter("src = 'FRANCE'").select(F.col("dst").alias("id"))
+    return t(spark, d, "nation").select(F.col("n_name").alias("id")).filter("id <> 'FRANCE'").join(e, "id", "left_anti")
+
+
+def _first(spark, d):
+    return t(spark, d, "nation").agg(F.min("n_name")).first()[0]
+
+
+PATHS = "best AS (SELECT node, cost FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY cost) = 1)"
+
+
+@query(f"""WITH RECURSIVE {EDGES}, walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT * FROM (SELECT dst AS node, min(walk.cost + edges.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN edges ON src = node WHERE hops < 6 GROUP BY dst)), {PATHS} SELECT node AS id, round(cost, 6) AS cost FROM best""")
+def shortest_path(spark, d):
+    return G.shortest_paths(edges(spark, d), _first(spark, d), "cost").select("id", F.round("cost", 6).alias("cost"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, few AS (SELECT * FROM edges WHERE NOT (src = (SELECT min(n_name) FROM nation) AND n >= 3)), walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT * FROM (SELECT dst AS node, min(walk.cost + few.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN few ON src = node WHERE hops < 8 GROUP BY dst)), {PATHS} SELECT node AS id, round(cost, 6) AS cost FROM best""")
+def path_after_removal(spark, d):
+    e, first = edges(spark, d), _first(spark, d)
+    return G.shortest_paths(G.without_edges(e, e.filter((F.col("src") == first) & (F.col("n") >= 3))), first, "cost").select("id", F.round("cost", 6).alias("cost"))
+
+
+@query()
+def betweenness(spark, d):
+    return rounded(G.betweenness(edges(spark, d), "cost"))
+
+
+@query()
+def louvain(spark, d):
+    return G.louvain(edges(spark, d), "n")
+
+
+@query()
+def pagerank(spark, d):
+    return rounded(G.pagerank(edges(spark, d)))
+
+
+@query(f"WITH RECURSIVE {EDGES}, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT DISTINCT x, x AS y FROM b UNION SELECT w.x, b.y FROM w JOIN b ON w.y = b.x) SELECT x AS id, min(y) AS component FROM w GROUP BY 1")
+def weak_components(spark, d):
+    return G.weak_components(edges(spark, d))
+
+
+# --- outliers, distances, imputation, models
+
+
+@query("SELECT s_suppkey, abs(s_acctbal - m) / s > 1.5 AS outlier FROM supplier, (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier)")
+def outlier_z(spark, d):
+    return P.zscore_flags(t(spark, d, "supplier"), ["s_acctbal"], 1.5).select("s_suppkey", "outlier")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice < a - 0.8 * (b - a) OR l_extendedprice > b + 0.8 * (b - a) AS outlier FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)")
+def outlier_iqr(spark, d):
+    return P.iqr_flags(t(spark, d, "lineitem"), ["l_extendedprice"], 0.8).select("l_orderkey", "l_linenumber", "outlier")
+
+
+@query("WITH h AS (SELECT p_partkey, CAST(p_size NOT BETWEEN 5 AND 45 AS INT) + CAST(p_retailprice NOT BETWEEN 950 AND 1800 AS INT) AS h FROM part) SELECT p_partkey, (h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()) AS score FROM h")
+def limit_score(spark, d):
+    return P.limit_score(t(spark, d, "part"), {"p_size": (5, 45), "p_retailprice": (950, 1800)}).select("p_partkey", F.col("score").cast("double").alias("score"))
+
+
+def _vectors(spark, d):
+    return P.bounded(t(spark, d, "embeddings"), "vec_id", 2000), F.col("embedding").cast("array<double>")
+
+
+PAIRS = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '|1'), vec_id LIMIT 2000), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.v, b.v)]) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
+
+
+@query(f"WITH {PAIRS} SELECT i AS vec_id, round(ln(sum(exp(-d2 / 2)) + 1), 6) AS log_density FROM p GROUP BY 1")
+def outlier_kde(spark, d):
+    df, v = _vectors(spark, d)
+    return rounded(P.kde_scores(df, "vec_id", v))
+
+
+@query(f"WITH {PAIRS}, near AS (SELECT i, j FROM p WHERE d2 <= 1.15 * 1.15), core AS (SELECT i FROM near GROUP BY 1 HAVING count(*) + 1 >= 10) SELECT vec_id, vec_id NOT IN (SELECT i FROM core UNION SELECT i FROM near WHERE j IN (SELECT i FROM core)) AS noise FROM e")
+def dbscan_noise(spark, d):
+    df, v = _vectors(spark, d)
+    return P.dbscan_noise(df, "vec_id", v, 1.15, 10)
+
+
+@query(f"""WITH {PAIRS}, nn AS (SELECT i, j, sqrt(d2) AS d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d2, j) <= 20), kd AS (SELECT i AS j, max(d) AS kd FROM nn GROUP BY 1),
+lrd AS (SELECT i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd USING (j) GROUP BY 1) SELECT nn.i AS vec_id, round(avg(b.lrd / a.lrd), 5) AS lof FROM nn JOIN lrd a ON nn.i = a.i JOIN lrd b ON nn.j = b.i GROUP BY 1""")
+def lof(spark, d):
+    df, v = _vectors(spark, d)
+    return rounded(P.lof(df, "vec_id", v), 5)
+
+
+@query()
+def mahalanobis(spark, d):
+    return rounded(M.mahalanobis(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]))
+
+
+@query("""WITH x AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey % 3 = 0 AS f, n_nationkey % 4 = 0 AS g, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS DOUBLE) END AS v FROM nation)
+SELECT a.k AS i, b.k AS j, round((CAST(a.r <> b.r AS INT) + CAST(a.f <> b.f AS INT) + CASE WHEN a.g OR b.g THEN CAST(a.g <> b.g AS INT) ELSE 0 END + coalesce(abs(a.v - b.v), 0)) / (2 + CAST(a.g OR b.g AS INT) + CAST(a.v IS NOT NULL AND b.v IS NOT NULL AS INT)), 6) AS d FROM x a JOIN x b ON a.k < b.k""")
+def mixed_dissimilarity(spark, d):
+    k = F.col("n_nationkey")
+    x = t(spark, d, "nation").select(k.alias("k"), F.col("n_regionkey").alias("r"), (k % 3 == 0).alias("f"), (k % 4 == 0).alias("g"), F.when(k % 5 != 0, k.cast("double")).alias("v"))
+    return rounded(P.dissimilarity(x, "k", {"r": "NO", "f": "SB", "g": "AB", "v": "NU"}))
+
+
+@query(r"""WITH tf AS (SELECT i, t, count(*) AS tf FROM (SELECT item_id AS i, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS t FROM benchmark) GROUP BY ALL),
+w AS (SELECT i, t, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*) OVER (PARTITION BY t))) + 1) AS w FROM tf), v AS (SELECT i, t, w / sqrt(sum(w * w) OVER (PARTITION BY i)) AS w FROM w)
+SELECT a.i, b.i AS j, round(1 - sum(a.w * b.w), 6) AS d FROM v a JOIN v b USING (t) WHERE a.i < b.i GROUP BY ALL""")
+def tfidf_cosine(spark, d):
+    return rounded(P.tfidf_cosine(t(spark, d, "benchmark"), "item_id", "text"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST(s_nationkey AS DOUBLE) AS a, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey / 10.0 END AS b, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS y FROM supplier),
+p AS (SELECT m.k AS i, o.k AS j, o.y, ((m.a - o.a) * (m.a - o.a) + CASE WHEN m.b IS NOT NULL AND o.b IS NOT NULL THEN (m.b - o.b) * (m.b - o.b) ELSE 0 END) * 2 / (1 + CAST(m.b IS NOT NULL AND o.b IS NOT NULL AS INT)) AS d FROM s m JOIN s o ON m.y IS NULL AND o.y IS NOT NULL),
+f AS (SELECT i, avg(y) AS y FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5) GROUP BY 1) SELECT k, round(coalesce(s.y, f.y), 6) AS y FROM s LEFT JOIN f ON k = i""")
+def knn_impute(spark, d):
+    k = F.col("s_suppkey")
+    s = t(spark, d, "supplier").select(k.alias("k"), F.col("s_nationkey").cast("double").alias("a"), F.when(k % 4 != 0, k / 10.0).alias("b"), F.when(k % 7 != 0, F.col("s_acctbal")).alias("y"))
+    return rounded(P.knn_impute(s, "k", ["a", "b"], "y"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal ELSE (SELECT avg(s_acctbal) FILTER (s_suppkey % 7 <> 0) FROM supplier) END AS s_acctbal FROM supplier".replace("FILTER (s", "FILTER (WHERE s"))
+def merge_imputed(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("s_acctbal"))
+    filled = s.select("s_suppkey").crossJoin(F.broadcast(s.agg(F.avg("s_acctbal").alias("s_acctbal"))))
+    return P.merge_imputed(s, filled, "s_suppkey", ["s_acctbal"])
+
+
+@query()
+def mice(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).cast("double").alias("p_size"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("p_retailprice"), (F.col("p_partkey") % 10).cast("double").alias("z"))
+    return rounded(M.iterative_impute(p, "p_partkey", ["p_size", "p_retailprice", "z"], 3), 4)
+
+
+@query()
+def pca(spark, d):
+    return rounded(M.pca(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
+def linreg(spark, d):
+    beta, _, _ = M.least_squares(t(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([(round(float(beta[1]), 4), round(float(beta[0]), 3))], "slope double, intercept double")
+
+
+@query("WITH f AS (SELECT l_extendedprice AS y, 1500.0 * l_quantity AS p FROM lineitem) SELECT round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) AS r2 FROM f, (SELECT avg(y) AS m FROM f)")
+def reg_metrics(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (1500.0 * F.col("l_quantity")).alias("p"))
+    return M.regression_metrics(x, "y", "p").select(F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
+
+
+@query()
+def logreg(spark, d):
+    x = t(spark, d, "lineitem").select("l_quantity", "l_extendedprice", (F.col("l_orderkey") % 3).cast("double").alias("label"))
+    return M.class_report(M.logistic(x, ["l_quantity", "l_extendedprice"], "label"), "label", "prediction")
+
+
+@query("""WITH x AS (SELECT quality AS y, toxic AS p FROM labels), c AS (SELECT l.label, count(*) FILTER (WHERE y = label) AS s, count(*) FILTER (WHERE p = label) AS c, count(*) FILTER (WHERE y = label AND p = label) AS h FROM x, (VALUES (0), (1)) l(label) GROUP BY 1)
+SELECT label, s AS support, round(CASE WHEN c > 0 THEN h / c ELSE 0 END, 6) AS precision, round(CASE WHEN s > 0 THEN h / s ELSE 0 END, 6) AS recall, round(CASE WHEN h > 0 THEN 2 * (h / c) * (h / s) / (h / c + h / s) ELSE 0 END, 6) AS f1 FROM c""")
+def class_report(spark, d):
+    return rounded(M.class_report(t(spark, d, "labels"), "quality", "toxic"))
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def confusion(spark, d):
+    return t(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query()
+def missingness_tests(spark, d):
+    return rounded(M.missingness_tests(t(spark, d, "part"), F.col("p_partkey") % 3 == 0, ["p_size", "p_retailprice"]))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT a, b, (SELECT sum(n) FROM c x WHERE x.a = p.a) * (SELECT sum(n) FROM c x WHERE x.b = q.b) / (SELECT sum(n) FROM c) AS e FROM (SELECT DISTINCT a FROM c) p, (SELECT DISTINCT b FROM c) q)
+SELECT round(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e), 5) AS stat, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof FROM g LEFT JOIN c USING (a, b)""")
+def chi_square(spark, d):
+    return M.chi_square(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus").select(F.round("stat", 5).alias("stat"), "dof")
+
+
+@query()
+def kernel_spectrum(spark, d):
+    rows = P.bounded(t(spark, d, "embeddings"), "vec_id", 300).select("vec_id", "embedding").orderBy("vec_id").collect()  # a bounded sample
+    values = M.kernel_spectrum(np.array([r["embedding"] for r in rows]))[:20]
+    return spark.createDataFrame([(k + 1, round(float(v), 6)) for k, v in enumerate(values)], "component int, eigenvalue double")
+
+
+@query()
+def mds(spark, d):
+    rows = P.bounded(t(spark, d, "embeddings"), "vec_id", 300).select("vec_id", "embedding").orderBy("vec_id").collect()  # a bounded sample
+    x = np.array([r["embedding"] for r in rows])
+    xy = M.mds(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
+    return spark.createDataFrame([(r["vec_id"], float(a), float(b)) for r, (a, b) in zip(rows, xy, strict=True)], "vec_id long, x double, y double")
+
+
+# --- micro-benchmarks
+
+
+@query("SELECT i % 100 AS group_id, count(*) AS n FROM range(1000000) r(i) GROUP BY 1")
+def bench_mem(spark, d):
+    return bench.memory(spark)
+
+
+@query("SELECT i % 100 AS group_key, CAST(sum(154) AS BIGINT) AS total_len, count(*) AS row_count FROM range(500000) r(i) GROUP BY 1")
+def bench_hdd(spark, d):
+    return bench.disk(spark)
+
+
+@query("SELECT a.i % 10 AS key1, a.i % 50 AS key2, CAST(sum(24) AS BIGINT) AS total_len, count(*) AS n FROM range(500000) a(i) JOIN range(500000) b(j) ON a.i = b.j + 100 GROUP BY ALL")
+def bench_network(spark, d):
+    return bench.network(spark)
+
+
+@query()
+def bench_cpu(spark, d):
+    return bench.cpu(spark)
