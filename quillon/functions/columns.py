@@ -97,4 +97,4 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case words of two or more word characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\b\w\w+\b)"), 1)
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w\w+)"), 1)

@@ -129,8 +129,59 @@ def betweenness(edges: DataFrame, cost: str, most_edges: int = 2_000_000) -> Dat
     return ids.join(part.groupBy("id").agg(F.sum("score").alias("score")), "id", "left").fillna(0.0, ["score"])
 
 
-def louvain(edges: DataFrame, weight: str, rounds: int = 12, levels: int = 5) -> DataFrame:
-    """id, community: local moves by modularity gain, in rounds where half of the vertices may move, then contraction."""
+def local_louvain(pairs: list[tuple[str, str, float]]) -> dict[str, str]:
+    """Community of each vertex of an undirected weighted graph: local moves until none gains, then contraction."""
+    near: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+    for a, b, w in pairs:
+        near[a][b] += w
+        near[b][a] += w  # a loop counts twice, as in degrees
+    whole = sum(sum(x.values()) for x in near.values())
+    home = {v: v for v in near}
+    while whole:
+        strength = {v: sum(x.values()) for v, x in near.items()}
+        place, total, moved, again = {v: v for v in near}, dict(strength), False, True
+        while again:
+            again = False
+            for v in sorted(near):
+                old, k = place[v], strength[v]
+                into: dict[str, float] = defaultdict(float, {old: 0.0})
+                for x, w in near[v].items():
+                    if x != v:
+                        into[place[x]] += w
+                total[old] -= k
+                gain = {c: w - k * total[c] / whole for c, w in into.items()}
+                best = max(sorted(gain), key=lambda c: gain[c])
+                if gain[best] <= gain[old] + 1e-9:
+                    best = old
+                total[best] += k
+                place[v] = best
+                again |= best != old
+            moved |= again
+        home = {v: place[c] for v, c in home.items()}
+        if not moved:
+            break
+        merged: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        for v, x in near.items():
+            for y, w in x.items():
+                merged[place[v]][place[y]] += w
+        near = merged
+    return home
+
+
+def louvain(edges: DataFrame, weight: str, rounds: int = 12, levels: int = 5, one_task: int = 200_000) -> DataFrame:
+    """id, community (named by its smallest id). Up to `one_task` edges run in one task; more by rounds of joins in which half of the
+    vertices may move, then contraction."""
+    if edges.limit(one_task + 1).count() <= one_task:
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            home = local_louvain([(str(a), str(b), float(w)) for a, b, w in zip(frame["a"], frame["b"], frame["w"], strict=True) if a != b])
+            names: dict[str, str] = {}
+            for v in sorted(home):
+                names.setdefault(home[v], v)
+            return pd.DataFrame({"id": list(home), "community": [names[c] for c in home.values()]})
+
+        small = edges.select(F.lit(1).alias("g"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col(weight).cast("double").alias("w"))
+        return small.groupBy("g").applyInPandas(run, "id string, community string")
     e = edges.filter(F.col("src") != F.col("dst")).select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col(weight).cast("double").alias("w"))
     e = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     e = checkpointed(e)

@@ -65,9 +65,9 @@ def routes_per_count(spark, d):
     return trips(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("routes"))
 
 
-@query(f"WITH {TRIPS} SELECT src, dst, count(*) AS n, sum(coalesce(delay, 0)) AS total, arg_max(day, id) AS last_row_day, max(day) AS last_day, arg_min(distance, id) AS distance FROM trips GROUP BY src, dst")
+@query(f"WITH {TRIPS} SELECT src, dst, count(*) AS n, sum(coalesce(delay, 0)) AS total, arg_max(day, id * 100 + distance) AS last_row_day, max(day) AS last_day, arg_min(distance, id * 100 + distance) AS distance FROM trips GROUP BY src, dst")
 def upsert_routes(spark, d):
-    return G.upsert_routes(trips(spark, d), "id")
+    return G.upsert_routes(trips(spark, d).withColumn("row", F.col("id") * 100 + F.col("distance")), "row")
 
 
 @query("SELECT 'customer without order' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order without line', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -133,7 +133,7 @@ def date_parts(spark, d):
 
 
 @query("""SELECT c_custkey, CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), [CAST(CAST('0x' || substr(sha256(c_name), 8 * k + 1, 8) AS UBIGINT) AS HUGEINT) for k in range(8)]),
-(a, x) -> (a * 4294967296 + x) % 9223372036854775807) AS BIGINT) AS h FROM customer""")
+lambda a, x: (a * 4294967296 + x) % 9223372036854775807) AS BIGINT) AS h FROM customer""")
 def sha_int64(spark, d):
     return t(spark, d, "customer").select("c_custkey", C.sha_int64(F.col("c_name")).alias("h"))
 
