@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,9 +37,11 @@ def gather(sample: DataFrame, features: Features, lower: bool, labels: list[str]
             cells = [ids[at[d] : at[d + 1]].astype(np.int32).tobytes() for d in range(block.n_docs)]
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), *(batch.column(c).cast(pa.int32()) for c in labels)], ["ids", *labels])
 
-    rows = sample.select("text", *labels).mapInArrow(run, f"ids binary, {', '.join(f'{c} int' for c in labels)}").collect()
-    rows.sort(key=lambda r: (bytes(r["ids"]), *(r[c] for c in labels)))  # the same order in every run
-    return [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([[r[c] for c in labels] for r in rows], np.int64).reshape(len(rows), len(labels))
+    table = sample.select("text", *labels).mapInArrow(run, f"ids binary, {', '.join(f'{c} int' for c in labels)}").toArrow()
+    cells = [x.as_buffer() for chunk in table["ids"].chunks for x in chunk]  # views, not copies
+    y = np.column_stack([table[c].to_numpy() for c in labels]).astype(np.int64).reshape(len(cells), len(labels))
+    order = sorted(range(len(cells)), key=lambda i: (zlib.crc32(cells[i]), cells[i].size, *y[i]))  # the same order in every run
+    return [np.frombuffer(cells[i], np.int32) for i in order], y[order]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, seed: int) -> DataFrame:
@@ -76,8 +79,11 @@ class Fit:
             self.oof = self.probability(margin)
 
     def _ratios(self, rows: list[np.ndarray], y: np.ndarray, least: int, sure: float) -> None:
-        flat, owner = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
-        p, q = (np.bincount(flat[owner == v], minlength=1 << BITS).astype(float) for v in (1, 0))
+        p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for value, total in ((1, p), (0, q)):
+            some = np.flatnonzero(y == value)
+            for k in range(0, len(some), 500):  # a few rows at a time: the sample isn't copied
+                total += np.bincount(np.concatenate([rows[i] for i in some[k : k + 500]]), minlength=1 << BITS)
         n1, n0 = (y == 1).sum(), (y == 0).sum()
         r = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
         error = np.sqrt(1 / (p + 1) - 1 / (n1 + 2) + 1 / (q + 1) - 1 / (n0 + 2))
@@ -93,11 +99,11 @@ class Fit:
         """Dual coordinate descent for the hinge loss with an L2 penalty; both classes weigh half."""
         tail = self.extra_n + 1
         w = np.zeros((1 << BITS) + tail)
-        last = np.arange(1 << BITS, (1 << BITS) + tail)
+        last = np.arange(1 << BITS, (1 << BITS) + tail, dtype=np.int32)
         data = []
         for i, r in enumerate(rows):
             ids, x = self._vector(r, None if extra is None else extra[i])
-            data.append((np.concatenate([ids, last]), x, float(x @ x)))
+            data.append((np.concatenate([ids, last]), x.astype(np.float32), float(x @ x)))
         sign = np.where(y == 1, 1.0, -1.0)
         upper = c * np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
         alpha, rng = np.zeros(len(y)), np.random.default_rng(7)
