@@ -26,8 +26,9 @@ def distinct(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def gather(sample: DataFrame, features: Features, lower: bool, labels: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of a sample of bounded size (its bound is the caller's parameter), at the driver."""
+def gather(sample: DataFrame, features: Features, lower: bool, labels: list[str], least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of a sample of bounded size (its bound is the caller's parameter), at the driver. Features of fewer
+    than `least` documents are left out, as no fit keeps them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -41,7 +42,15 @@ def gather(sample: DataFrame, features: Features, lower: bool, labels: list[str]
     cells = [x.as_buffer() for chunk in table["ids"].chunks for x in chunk]  # views, not copies
     y = np.column_stack([table[c].to_numpy() for c in labels]).astype(np.int64).reshape(len(cells), len(labels))
     order = sorted(range(len(cells)), key=lambda i: (zlib.crc32(cells[i]), cells[i].size, *y[i]))  # the same order in every run
-    return [np.frombuffer(cells[i], np.int32) for i in order], y[order]
+    rows = [np.frombuffer(cells[i], np.int32) for i in order]
+    counts = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        counts[r] += 1  # a document's features are distinct
+    often = counts >= least
+    rows = [r[often[r]] for r in rows]
+    del cells, table
+    pa.default_memory_pool().release_unused()
+    return rows, y[order]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, seed: int) -> DataFrame:

@@ -51,7 +51,7 @@ def quality_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = 8000, holdout: int = 5) -> Fit:
     """Labels of ids with crc32 modulo `holdout` = 0 are never used."""
     labels = labels.filter(crc_mod(F.col("doc_id"), holdout) != 0)
-    rows, y = gather(labelled_sample(docs, labels, ["quality"], most, 8), quality_features, False, ["quality"])
+    rows, y = gather(labelled_sample(docs, labels, ["quality"], most, 8), quality_features, False, ["quality"], 3)
     return Fit(rows, y[:, 0] if len(y) else np.zeros(0, np.int64)).slim()
 
 

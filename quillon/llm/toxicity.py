@@ -43,7 +43,7 @@ def toxic_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def train_chain(docs: DataFrame, labels: DataFrame, most: int = 16000) -> list[Fit]:
     labels = labels.select("doc_id", (1 - F.col("quality")).cast("int").alias("unusable"), F.col("toxic").cast("int").alias("toxic"))
-    rows, y = gather(labelled_sample(docs, labels, list(CATEGORIES), most, 7), toxic_features, True, list(CATEGORIES))
+    rows, y = gather(labelled_sample(docs, labels, list(CATEGORIES), most, 7), toxic_features, True, list(CATEGORIES), 2)
     chain: list[Fit] = []
     before = np.zeros((len(rows), 0))
     for k in range(len(CATEGORIES)):
