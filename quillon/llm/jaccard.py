@@ -71,7 +71,7 @@ def sign_documents(k: int):
                         seen.add(fp)
                         fresh.append(s)
             if fresh:
-                cells += np.bincount((np.concatenate(fresh) & U((1 << CELL_BITS) - 1)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.int32)
+                np.add.at(cells, (np.concatenate(fresh) & U((1 << CELL_BITS) - 1)).astype(np.int64), 1)
             none = pa.nulls(block.n_docs, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows[0].astype(np.int32)), *(signed(r) for r in rows[1:]), none, pa.nulls(block.n_docs, pa.binary())], names)
         parts, values = array_rows(cells)
@@ -161,7 +161,7 @@ def propose(percent: int):
             at = starts[size == m]
             if m <= LONG:
                 x, y = np.triu_indices(m, 1)
-                step = max(1, 2_000_000 // len(x))
+                step = max(1, 500_000 // len(x))
                 for k in range(0, len(at), step):
                     yield from emit((at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel())
                 continue
@@ -176,7 +176,7 @@ def propose(percent: int):
                 i, total = np.arange(a, last), np.cumsum(lengths)
                 done = 0
                 while done < m:
-                    upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 400_000, "right")))
+                    upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 200_000, "right")))
                     part = lengths[done:upto]
                     first = np.repeat(after[done:upto], part)
                     inside = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)

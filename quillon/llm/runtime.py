@@ -29,6 +29,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: smaller batches bound a worker's memory
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -107,7 +107,7 @@ class Block:
                 yield np.zeros(0, U)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about `size` bytes of text; a longer text stands alone, whole."""
     for batch in batches:
         if not batch.num_rows:
