@@ -63,10 +63,12 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, group_rows: int | None = None) -> DataFrame:
+        """group_rows bounds the rows of a row group, for tables whose rows are megabytes: readers hold a row group at a time."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        writer = df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_: object) -> None:
