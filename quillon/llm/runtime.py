@@ -31,6 +31,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: smaller batches bound a worker's memory
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{16 << 20}")  # the same for rows of megabytes; a longer row is a batch
 
 
 def shared_dir(spark: SparkSession) -> str:
