@@ -66,10 +66,13 @@ class Scratch:
         return self
 
     def table(self, df: DataFrame, group_rows: int | None = None) -> DataFrame:
-        """group_rows bounds the rows of a row group, for tables whose rows are megabytes: readers hold a row group at a time."""
+        """group_rows bounds the rows of a row group, for tables whose rows are megabytes: readers hold a row group at a time.
+
+        Such tables take zstd, which works in small buffers; Snappy's are as large as a page and lie outside the heap.
+        """
         self.n += 1
         path = f"{self.base}/{self.n}"
-        writer = df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write
+        writer = df.write.option("parquet.block.row.count.limit", group_rows).option("compression", "zstd") if group_rows else df.write
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
