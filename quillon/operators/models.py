@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_sf, normal_cdf, t_two_sided
+from ..functions.distributions import chi2_quantile, chi2_sf, fisher_exact, normal_cdf, skew_test, t_two_sided
 from .windows import over
 
 
@@ -42,20 +42,65 @@ def pca(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, share double, cumulative double, mse double")
 
 
-def mahalanobis(df: DataFrame, columns: Sequence[str], quantile: float = 0.95) -> DataFrame:
-    """All columns with d2 and outlier; the limit is the chi-square quantile."""
-    mean, cov = covariance(df, columns)
+def squared_distance(columns: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> Column:
+    """Squared Mahalanobis distance as an expression; null where a column is null."""
     inv = np.linalg.pinv(cov)
     d = [F.col(c).cast("double") - float(m) for c, m in zip(columns, mean, strict=True)]
     total: Column = F.lit(0.0)
     for i in range(len(d)):
         for j in range(len(d)):
             total = total + d[i] * d[j] * float(inv[i, j])
-    lo, hi = 0.0, 1000.0
-    while hi - lo > 1e-9:
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_sf(mid, len(columns)) > 1 - quantile else (lo, mid)
-    return df.withColumn("d2", total).withColumn("outlier", F.col("d2") > hi)
+    return total
+
+
+def mahalanobis(df: DataFrame, columns: Sequence[str], quantile: float = 0.95, robust: bool = False) -> DataFrame:
+    """All columns with d2 and outlier; the limit is the chi-square quantile."""
+    mean, cov = robust_covariance(df, columns) if robust else covariance(df, columns)
+    return df.withColumn("d2", squared_distance(columns, mean, cov)).withColumn("outlier", F.col("d2") > chi2_quantile(quantile, len(columns)))
+
+
+def robust_covariance(df: DataFrame, columns: Sequence[str], rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum covariance determinant: mean and covariance of the half of the rows with the smallest determinant, then of all rows within its 0.975 limit.
+
+    Concentration steps from two fixed starts (medians with absolute deviations, and classical moments) are aggregations; a step keeps rows up to
+    the distance's (approximate, 1e-4) quantile. Constant columns keep a variance of 0. Fewer rows than columns plus two: classical moments.
+    """
+    base = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    p = len(columns)
+
+    def fit(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+        upper = [(i, j) for i in range(p) for j in range(i, p)]
+        row = rows.agg(F.count("*"), *(F.avg(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i, j in upper)).first()
+        cov = np.zeros((p, p))
+        for (i, j), v in zip(upper, row[1 + p :], strict=True):
+            cov[i, j] = cov[j, i] = v or 0.0
+        return row[0], np.array([v or 0.0 for v in row[1 : 1 + p]]), cov
+
+    n, mean, cov = fit(base)
+    if n < p + 2:
+        return mean, cov
+    middle = np.array(base.agg(*(F.percentile_approx(c, F.lit(0.5), 10_000) for c in columns)).first(), float)
+    spread = np.array(base.agg(*(F.percentile_approx(F.abs(F.col(c) - float(m)), F.lit(0.5), 10_000) for c, m in zip(columns, middle, strict=True))).first(), float) * 1.4826
+    spread = np.where(spread > 0, spread, np.sqrt(np.diag(cov)))
+    share, best = (n + p + 1) // 2 / n, (math.inf, mean, cov)
+    for m, s in ((middle, np.diag(spread**2)), (mean, cov)):
+        last = math.inf
+        for _ in range(rounds):
+            d2 = squared_distance(columns, m, s)
+            limit = base.agg(F.percentile_approx(d2, F.lit(share), 10_000)).first()[0]
+            _, m, s = fit(base.filter(d2 <= limit))
+            volume = float(np.linalg.det(s))
+            if volume >= last * (1 - 1e-9):
+                break
+            last = volume
+        if last < best[0]:
+            best = (last, m, s)
+    d2 = squared_distance(columns, best[1], best[2])
+    scale = base.agg(F.percentile_approx(d2, F.lit(0.5), 10_000)).first()[0] / chi2_quantile(0.5, p)
+    if not scale > 0:
+        return best[1], best[2]
+    _, mean, cov = fit(base.filter(d2 / scale < chi2_quantile(0.975, p)))
+    return mean, cov
 
 
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -191,6 +236,55 @@ def missingness_tests(df: DataFrame, mask: Column, columns: Sequence[str]) -> Da
     return df.sparkSession.createDataFrame(rows, "col string, t double, t_p double, u double, u_p double")
 
 
+def missingness_report(df: DataFrame, feature: str, columns: Sequence[str], least: int = 20) -> DataFrame:
+    """How other columns differ between rows with and without `feature`: (col, test, missing, present, p), empty up to `least` missing values.
+
+    Columns with at least ten values are numeric (others of that size get no test): medians [quartiles] - counts, Mann-Whitney where both skew tests reject at 0.05, pooled t test
+    otherwise. Others are tabulated against missingness: Fisher's exact test for 2 x 2 tables with a cell below 5, else chi-square (Yates for 2 x 2).
+    p is rounded to 3 places (chi-square 4), null where a test isn't defined.
+    """
+    from .stats import melt
+
+    spark, schema = df.sparkSession, "col string, test string, missing string, present string, p double"
+    base = df.withColumn("_m", F.col(feature).isNull())
+    if base.filter("_m").limit(least + 1).count() <= least:
+        return spark.createDataFrame([], schema)
+    values = base.agg(*(F.count_distinct(c).alias(c) for c in columns)).first().asDict()
+    numeric = [c for c, k in df.select(*columns).dtypes if values[c] >= 10 and k not in ("string", "boolean", "date", "timestamp", "timestamp_ntz")]
+    rows: list[tuple] = [(c, None, None, None, None) for c in columns if values[c] >= 10 and c not in numeric]
+    if numeric:
+        q = F.percentile("x", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
+        parts = melt(base, numeric, ["_m"]).groupBy("col", "_m").agg(F.count("x").alias("n"), F.skewness("x").alias("skew"), q.alias("q")).collect()
+        facts = {(r["col"], r["_m"]): r for r in parts}
+        tests = {r["col"]: r for r in missingness_tests(base, F.col("_m"), numeric).collect()}
+        for c in numeric:
+            sides = [facts.get((c, m)) for m in (True, False)]
+            told = ["{:.1f} [{:.1f}-{:.1f}] - {}".format(*r["q"], r["n"]) if r else None for r in sides]
+            skewed = [skew_test(r["n"], math.nan if r["skew"] is None else r["skew"])[1] if r else math.nan for r in sides]
+            if c not in tests or any(math.isnan(x) for x in skewed):
+                rows.append((c, None, *told, None))
+            else:
+                name = "mann-whitney" if max(skewed) <= 0.05 else "t"
+                rows.append((c, name, *told, round(tests[c]["u_p" if name == "mann-whitney" else "t_p"], 3)))
+    for c in (c for c in columns if values[c] < 10):
+        counts = base.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v"), "_m").count().collect()  # below 20 rows
+        cell = {(r["v"], r["_m"]): r["count"] for r in counts}
+        table = [[cell.get((v, m), 0) for m in (True, False)] for v in sorted({v for v, _ in cell})]
+        told = ["; ".join(f"{v}: {cell[v, m]}" for v in sorted({v for v, _ in cell}) if (v, m) in cell) for m in (True, False)]
+        flat, sums = [x for r in table for x in r], [sum(r[k] for r in table) for k in (0, 1)]
+        if len(table) < 2 or not all(sums):
+            rows.append((c, None, *told, None))
+        elif len(table) == 2 and min(flat) < 5:
+            rows.append((c, "fisher", *told, round(fisher_exact(*flat), 3)))
+        else:
+            total = sum(sums)
+            pairs = [(x, sum(r) * s / total) for r in table for x, s in zip(r, sums, strict=True)]
+            shift = 0.5 if len(table) == 2 else 0.0
+            stat = sum((abs(x - e) - min(shift, abs(x - e))) ** 2 / e for x, e in pairs)
+            rows.append((c, "chi-square", *told, round(chi2_sf(stat, len(table) - 1), 4)))
+    return spark.createDataFrame(rows, schema)
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """stat, dof, p of independence."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))

@@ -537,6 +537,11 @@ def mahalanobis(spark, d):
     return rounded(M.mahalanobis(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]))
 
 
+@query()
+def mahalanobis_robust(spark, d):
+    return rounded(M.mahalanobis(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], robust=True))
+
+
 @query("""WITH x AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey % 3 = 0 AS f, n_nationkey % 4 = 0 AS g, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS DOUBLE) END AS v FROM nation)
 SELECT a.k AS i, b.k AS j, round((CAST(a.r <> b.r AS INT) + CAST(a.f <> b.f AS INT) + CASE WHEN a.g OR b.g THEN CAST(a.g <> b.g AS INT) ELSE 0 END + coalesce(abs(a.v - b.v), 0)) / (2 + CAST(a.g OR b.g AS INT) + CAST(a.v IS NOT NULL AND b.v IS NOT NULL AS INT)), 6) AS d FROM x a JOIN x b ON a.k < b.k""")
 def mixed_dissimilarity(spark, d):
@@ -613,6 +618,12 @@ def missingness_tests(spark, d):
     return rounded(M.missingness_tests(t(spark, d, "part"), F.col("p_partkey") % 3 == 0, ["p_size", "p_retailprice"]))
 
 
+@query()
+def missingness_report(spark, d):
+    part = t(spark, d, "part").withColumn("v", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))).withColumn("odd", F.col("p_partkey") % 2)
+    return M.missingness_report(part, "v", ["p_size", "p_retailprice", "odd"])
+
+
 @query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT a, b, (SELECT sum(n) FROM c x WHERE x.a = p.a) * (SELECT sum(n) FROM c x WHERE x.b = q.b) / (SELECT sum(n) FROM c) AS e FROM (SELECT DISTINCT a FROM c) p, (SELECT DISTINCT b FROM c) q)
 SELECT round(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e), 5) AS stat, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof FROM g LEFT JOIN c USING (a, b)""")
 def chi_square(spark, d):
