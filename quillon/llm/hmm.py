@@ -6,9 +6,8 @@ model is P(text) = HMM(classes) * product of P(word | class): latent states emit
 (c + 1) / (N_class + V_class + 1), where an unseen word takes the remaining unit. So the HMM has a fixed size whatever the
 vocabulary, frequent words nearly own their class, and word counts cover the whole corpus.
 
-Training: Baum-Welch. Each task runs the scaled forward and backward passes over pieces of at most 256 tokens, of many texts at
-once, and its expected counts are summed over tasks. The first rounds take an eighth of the training documents each, in turn;
-the last takes all. Scoring: the scaled forward recursion over the whole text, so the likelihood is exact; a text of more than
+Training: Baum-Welch. Each task runs the scaled forward and backward passes over whole texts, of many at once, and its expected
+counts are summed over tasks. Every round takes all training documents. Scoring: the scaled forward recursion over the whole text, so the likelihood is exact; a text of more than
 512 tokens is a product of transfer matrices of 256 tokens, all computed at once.
 
 Word counts: words of at least 1/2^20 of all tokens (at most 2^20 of them, a proven bound) are sent to the tasks; other words
@@ -36,6 +35,7 @@ CLASSES = 1 << 15
 END = CLASSES - 1
 STATES = 8
 PIECE = 256
+TOGETHER = 1 << 21  # tokens of the texts that go through training step by step together
 HEAVY = 1 << 20
 
 
@@ -106,41 +106,67 @@ class Hmm:
         move = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
         return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
-    def expected(self, pieces: list[np.ndarray], opens: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions over pieces, which are taken in groups of similar length."""
+    def expected(self, seqs: list[np.ndarray], opens: list[bool], cells: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions over whole sequences.
+
+        Sequences are taken longest first, so those that reach step t are the first live[t]; a step's cells follow the step's before.
+        Steps are taken in blocks of about so many cells. Forwards only the state at each block's border is kept; backwards each
+        block's forward vectors are computed again from it, so memory is bounded and no move over a border is lost.
+        """
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        for idx, ids, lengths in padded(pieces, 1024):
-            steps, n = ids.shape
-            e = self.emit[ids]
-            alpha, scale = np.empty((steps, n, STATES), np.float32), np.empty((steps, n), np.float32)
-            a = self.start * e[0]
-            for t in range(steps):
+        size = np.array([len(s) for s in seqs], np.int64)
+        order = np.argsort(-size, kind="stable")
+        steps = int(size[order[0]]) if len(seqs) else 0
+        live = len(seqs) - np.cumsum(np.bincount(size, minlength=steps + 1))[:steps]
+        at = np.concatenate([[0], np.cumsum(live)])
+        ids = np.empty(at[-1], np.uint16)
+        for j, i in enumerate(order):
+            ids[at[: size[i]] + j] = seqs[i]
+        borders = [0]
+        while borders[-1] < steps:
+            t = borders[-1]
+            borders.append(max(t + 1, int(np.searchsorted(at, at[t] + cells, "right")) - 1))
+        ones, flip = np.ones(STATES, np.float32), self.move.T.copy()
+
+        def forward(t0: int, t1: int, a: np.ndarray | None, keep: bool) -> tuple[np.ndarray, ...]:
+            """The last vectors of steps t0 to t1 - 1, and if keep, emissions, vectors, those of the step before, and scales."""
+            e = self.emit[ids[at[t0] : at[t1]]]
+            alpha, before, scale = (np.zeros(e.shape, np.float32), np.zeros(e.shape, np.float32), np.empty(len(e), np.float32)) if keep else (None, None, None)
+            for t in range(t0, t1):
+                x, y = at[t] - at[t0], at[t + 1] - at[t0]
                 if t:
-                    a = (a @ self.move) * e[t]
-                c = a.sum(axis=1)
-                np.maximum(c, 1e-30, out=c)
+                    a = a[: live[t]]
+                    if keep:
+                        before[x:y] = a
+                    a = (a @ self.move) * e[x:y]
+                else:
+                    a = self.start * e[x:y]
+                c = np.maximum(a @ ones, np.float32(1e-30))
                 a = a / c[:, None]
-                alpha[t], scale[t] = a, c
-            on = np.arange(steps)[:, None] < lengths
-            beta = np.ones((n, STATES), np.float32)
-            back = np.empty((steps, n, STATES), np.float32)
-            ahead = np.zeros((steps, n, STATES), np.float32)  # e * beta / scale of the next step
-            flip = self.move.T.copy()
-            for t in range(steps - 1, -1, -1):
-                back[t] = beta
-                g = e[t] * beta / scale[t][:, None]
-                if t:
-                    live = on[t]
-                    ahead[t - 1][live] = g[live]
-                    beta = np.where(live[:, None], g @ flip, np.float32(1))
-            gamma = alpha * back
-            gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-30)
-            gamma[~on] = 0
-            move += self.move * (alpha.reshape(-1, STATES).T @ ahead.reshape(-1, STATES))
-            flat = ids.ravel()
-            for k in range(STATES):
-                emit[:, k] += np.bincount(flat, weights=gamma[:, :, k].ravel(), minlength=CLASSES)
-            start += gamma[0][np.array([opens[i] for i in idx])].sum(axis=0)
+                if keep:
+                    alpha[x:y], scale[x:y] = a, c
+            return a, e, alpha, before, scale
+
+        states: list[np.ndarray | None] = [None]
+        for t0, t1 in zip(borders[:-2], borders[1:-1], strict=True):
+            states.append(forward(t0, t1, states[-1], False)[0])
+        beta = np.ones((len(seqs), STATES), np.float32)
+        for k in range(len(borders) - 2, -1, -1):
+            t0, t1 = borders[k], borders[k + 1]
+            _, e, alpha, before, scale = forward(t0, t1, states[k], True)
+            e /= scale[:, None]
+            for t in range(t1 - 1, t0 - 1, -1):
+                x, y = at[t] - at[t0], at[t + 1] - at[t0]
+                alpha[x:y] *= beta[: live[t]]
+                e[x:y] *= beta[: live[t]]  # e * beta / scale
+                beta[: live[t]] = e[x:y] @ flip
+            move += self.move * (before.T @ e)  # before is 0 at the first step
+            alpha /= np.maximum(alpha @ ones, np.float32(1e-30))[:, None]
+            part = ids[at[t0] : at[t1]].astype(np.int64)
+            for s in range(STATES):
+                emit[:, s] += np.bincount(part, weights=alpha[:, s], minlength=CLASSES)
+            if t0 == 0:
+                start += alpha[: len(seqs)][np.array(opens, bool)[order]].sum(axis=0)
         return start, move, emit
 
     def log10(self, seqs: list[np.ndarray]) -> np.ndarray:
@@ -223,29 +249,37 @@ def padded(seqs: list[np.ndarray], rows: int) -> Iterator[tuple[np.ndarray, np.n
         a = b
 
 
-def train(encoded: DataFrame, unigram: np.ndarray, shards: int = 8, rounds: int = 6) -> Hmm:
-    """encoded: classes of the training documents, with rid. Rounds over shards in turn, then one over all."""
+def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = 7) -> Hmm:
+    """encoded: classes of the training documents, all of which enter each round."""
     spark = encoded.sparkSession
     model = Hmm.first(unigram)
     prior = unigram[:, None] * 50.0
-    for step in range(rounds + 1):
-        rows = encoded if step == rounds else encoded.filter(F.pmod(F.xxhash64("rid"), F.lit(shards)) == step % shards)
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
+            held: list[np.ndarray] = []
+
+            def add() -> None:
+                parts = sent.value.expected(held, [True] * len(held))
+                np.add(total, np.concatenate([x.ravel() for x in parts]), out=total)
+                held.clear()
+
+            tokens = 0
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    pieces, opens = [], []
-                    for s in sequences(batch.slice(a, 1024)):
-                        for k in range(0, len(s), PIECE):
-                            pieces.append(s[k : k + PIECE])
-                            opens.append(k == 0)
-                    total += np.concatenate([x.ravel() for x in sent.value.expected(pieces, opens)])
+                for s in sequences(batch):
+                    held.append(s)
+                    tokens += len(s)
+                    if tokens >= TOGETHER:
+                        add()
+                        tokens = 0
+            if held:
+                add()
             parts, values = array_rows(total.astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(values, pa.binary())], ["part", "cells"])
 
-        total = sum_arrays(rows.select("classes").mapInArrow(run, ARRAY_SCHEMA), "float32", STATES + STATES * STATES + CLASSES * STATES).astype(float)
+        total = sum_arrays(encoded.select("classes").mapInArrow(run, ARRAY_SCHEMA), "float32", STATES + STATES * STATES + CLASSES * STATES).astype(float)
         sent.unpersist()
         start, move, emit = total[:STATES] + 1, total[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1, total[STATES + STATES**2 :].reshape(CLASSES, STATES) + prior
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -276,7 +310,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         heavy = spark.sparkContext.broadcast((words[order], frequent["c"].to_numpy()[order], ends))
         encoded = scratch.table(docs.mapInArrow(encode(heavy, spark.sparkContext.broadcast(log_class)), ENCODED))
         whole = encoded.filter("h is null")
-        model = spark.sparkContext.broadcast(train(whole.filter("not held_out").select("rid", "classes"), unigram))
+        model = spark.sparkContext.broadcast(train(whole.filter("not held_out").select("classes"), unigram))
         rare = encoded.filter("h is not null").select("rid", "h", "tf").join(counts.filter(F.col("c") * HEAVY < n), "h")
         rare = rare.groupBy("rid").agg(F.sum("tf").alias("rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("rare_log"))
 
