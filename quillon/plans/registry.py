@@ -507,7 +507,7 @@ def limit_score(spark, d):
 
 
 def _vectors(spark, d):
-    return P.bounded(t(spark, d, "embeddings"), "vec_id", 2000), F.col("embedding").cast("array<double>")
+    return t(spark, d, "embeddings"), F.col("embedding").cast("array<double>")
 
 
 PAIRS = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '|1'), vec_id LIMIT 2000), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.v, b.v)]) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
