@@ -7,8 +7,9 @@ model is P(text) = HMM(classes) * product of P(word | class): latent states emit
 vocabulary, frequent words nearly own their class, and word counts cover the whole corpus.
 
 Training: Baum-Welch. Each task runs the scaled forward and backward passes over whole texts, of many at once, and its expected
-counts are summed over tasks. Every round takes all training documents. Scoring: the scaled forward recursion over the whole text, so the likelihood is exact; a text of more than
-512 tokens is a product of transfer matrices of 256 tokens, all computed at once.
+counts are summed over tasks in doubles. Every round takes all training documents. Scoring: the scaled forward recursion over the whole
+text, so the likelihood is exact. A text of more than 4096 tokens goes through in pieces of 512: their transfer matrices give the exact
+forward and backward vectors at the pieces' borders.
 
 Word counts: words of at least 1/2^20 of all tokens (at most 2^20 of them, a proven bound) are sent to the tasks; other words
 meet their counts in a join on the word, where none of them is hot.
@@ -34,8 +35,9 @@ U = np.uint64
 CLASSES = 1 << 15
 END = CLASSES - 1
 STATES = 8
-PIECE = 256
-TOGETHER = 1 << 21  # tokens of the texts that go through training step by step together
+LONG, PIECE = 4096, 512  # texts of more tokens than LONG go through in pieces
+TOGETHER = 1 << 20  # tokens of the texts that go through step by step together
+KAPPA = 5.0
 HEAVY = 1 << 20
 
 
@@ -94,6 +96,19 @@ def sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.append(np.frombuffer(x.as_buffer(), np.uint16), np.uint16(END)) for x in batch.column("classes")]
 
 
+def laid(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences longest first, side by side: their order, ids by step, each step's first cell, and how many reach each step."""
+    size = np.array([len(s) for s in seqs], np.int64)
+    order = np.argsort(-size, kind="stable")
+    steps = int(size.max(initial=0))
+    live = len(seqs) - np.cumsum(np.bincount(size, minlength=steps + 1))[:steps]
+    at = np.concatenate([[0], np.cumsum(live)])
+    ids = np.empty(at[-1], np.uint16)
+    for j, i in enumerate(order):
+        ids[at[: size[i]] + j] = seqs[i]
+    return order, ids, at, live
+
+
 class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         """emit has a row of STATES probabilities for each class."""
@@ -106,22 +121,86 @@ class Hmm:
         move = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
         return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
-    def expected(self, seqs: list[np.ndarray], opens: list[bool], cells: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the likelihood and the last forward vector of each sequence, by the scaled forward recursion."""
+        order, ids, at, live = laid(seqs)
+        total, product, last = np.zeros(len(seqs)), np.ones(len(seqs)), np.zeros((len(seqs), STATES))
+        ones, a = np.ones(STATES, np.float32), np.zeros((0, STATES), np.float32)
+        for t, n in enumerate(live):
+            e = self.emit[ids[at[t] : at[t + 1]]]
+            a = (a[:n] @ self.move) * e if t else self.start * e
+            c = np.maximum(a @ ones, np.float32(1e-37))
+            a /= c[:, None]
+            product[:n] *= c
+            if t % 8 == 7:  # 8 scales of 1e-37 at least don't leave the range of doubles
+                total[:n] += np.log10(product[:n])
+                product[:n] = 1.0
+            below = live[t + 1] if t + 1 < len(live) else 0
+            if below < n:
+                last[below:n] = a[below:]
+        total += np.log10(product)
+        back = np.empty(len(seqs), np.int64)
+        back[order] = np.arange(len(seqs))
+        return total[back], last[back]
+
+    def transfer(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece the matrix whose row j is the forward vector after it when the state before it was j, scaled, and log10 of the scale."""
+        order, ids, at, live = laid(pieces)
+        m, logs = np.broadcast_to(np.eye(STATES, dtype=np.float32), (len(pieces), STATES, STATES)).copy(), np.zeros(len(pieces))
+        for t, n in enumerate(live):
+            new = (m[:n].reshape(-1, STATES) @ self.move).reshape(n, STATES, STATES) * self.emit[ids[at[t] : at[t + 1]]][:, None, :]
+            c = np.maximum(new.max(axis=(1, 2)), np.float32(1e-37))
+            m[:n] = new / c[:, None, None]
+            logs[:n] += np.log10(c)
+        mats, scales = np.empty((len(pieces), STATES, STATES)), np.empty(len(pieces))
+        mats[order], scales[order] = m, logs
+        return mats, scales
+
+    def pieces(self, seqs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sequences of more than LONG tokens cut in pieces: pieces, whose they are, forward vector before each (0 before a first one),
+        backward vector after each, and log10 of the likelihood of each long sequence (0 of others)."""
+        owner = [i for i, s in enumerate(seqs) for _ in range(1 if len(s) <= LONG else -(-len(s) // PIECE))]
+        parts = [p for s in seqs for p in ([s] if len(s) <= LONG else [s[k : k + PIECE] for k in range(0, len(s), PIECE)])]
+        enter, leave, logs = np.zeros((len(parts), STATES)), np.ones((len(parts), STATES)), np.zeros(len(seqs))
+        own = np.array(owner, np.int64)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        long = [(a, b) for a, b in zip(first, np.append(first[1:], len(parts)), strict=True) if b - a > 1]
+        if long:
+            opened, vector = self.run([parts[a] for a, _ in long])
+            rest = [k for a, b in long for k in range(a + 1, b)]
+            mats, scales = self.transfer([parts[k] for k in rest])
+            place = dict(zip(rest, range(len(rest)), strict=True))
+            for (a, b), total, state in zip(long, opened, vector, strict=True):
+                for k in range(a + 1, b):
+                    enter[k] = state
+                    state = state @ mats[place[k]]
+                    c = max(state.sum(), 1e-300)
+                    state, total = state / c, total + scales[place[k]] + np.log10(c)
+                logs[own[a]] = total
+                for k in range(b - 1, a, -1):
+                    after = mats[place[k]] @ leave[k]
+                    leave[k - 1] = after / max(after.max(), 1e-300)
+        return parts, own, enter, leave, logs
+
+    def log10(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """log10 of the exact likelihood of each whole sequence."""
+        short = [i for i, s in enumerate(seqs) if len(s) <= LONG]
+        out = self.pieces([s if len(s) > LONG else s[:0] for s in seqs])[4]
+        out[short] = self.run([seqs[i] for i in short])[0]
+        return out
+
+    def expected(self, seqs: list[np.ndarray], cells: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions over whole sequences.
 
-        Sequences are taken longest first, so those that reach step t are the first live[t]; a step's cells follow the step's before.
         Steps are taken in blocks of about so many cells. Forwards only the state at each block's border is kept; backwards each
         block's forward vectors are computed again from it, so memory is bounded and no move over a border is lost.
         """
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        size = np.array([len(s) for s in seqs], np.int64)
-        order = np.argsort(-size, kind="stable")
-        steps = int(size[order[0]]) if len(seqs) else 0
-        live = len(seqs) - np.cumsum(np.bincount(size, minlength=steps + 1))[:steps]
-        at = np.concatenate([[0], np.cumsum(live)])
-        ids = np.empty(at[-1], np.uint16)
-        for j, i in enumerate(order):
-            ids[at[: size[i]] + j] = seqs[i]
+        parts, own, enter, leave, _ = self.pieces(seqs)
+        order, ids, at, live = laid(parts)
+        enter, opens = enter[order].astype(np.float32), np.diff(own, prepend=-1)[order] != 0
+        beta = leave[order].astype(np.float32)
+        steps = len(live)
         borders = [0]
         while borders[-1] < steps:
             t = borders[-1]
@@ -131,18 +210,18 @@ class Hmm:
         def forward(t0: int, t1: int, a: np.ndarray | None, keep: bool) -> tuple[np.ndarray, ...]:
             """The last vectors of steps t0 to t1 - 1, and if keep, emissions, vectors, those of the step before, and scales."""
             e = self.emit[ids[at[t0] : at[t1]]]
-            alpha, before, scale = (np.zeros(e.shape, np.float32), np.zeros(e.shape, np.float32), np.empty(len(e), np.float32)) if keep else (None, None, None)
+            alpha, before, scale = (np.empty(e.shape, np.float32), np.empty(e.shape, np.float32), np.empty(len(e), np.float32)) if keep else (None, None, None)
             for t in range(t0, t1):
                 x, y = at[t] - at[t0], at[t + 1] - at[t0]
-                if t:
-                    a = a[: live[t]]
-                    if keep:
-                        before[x:y] = a
-                    a = (a @ self.move) * e[x:y]
-                else:
-                    a = self.start * e[x:y]
+                a = a[: live[t]] if t else enter
+                if keep:
+                    before[x:y] = a
+                a = a @ self.move
+                if not t:
+                    a = np.where(opens[:, None], self.start, a)
+                a *= e[x:y]
                 c = np.maximum(a @ ones, np.float32(1e-30))
-                a = a / c[:, None]
+                a /= c[:, None]
                 if keep:
                     alpha[x:y], scale[x:y] = a, c
             return a, e, alpha, before, scale
@@ -150,7 +229,6 @@ class Hmm:
         states: list[np.ndarray | None] = [None]
         for t0, t1 in zip(borders[:-2], borders[1:-1], strict=True):
             states.append(forward(t0, t1, states[-1], False)[0])
-        beta = np.ones((len(seqs), STATES), np.float32)
         for k in range(len(borders) - 2, -1, -1):
             t0, t1 = borders[k], borders[k + 1]
             _, e, alpha, before, scale = forward(t0, t1, states[k], True)
@@ -160,100 +238,29 @@ class Hmm:
                 alpha[x:y] *= beta[: live[t]]
                 e[x:y] *= beta[: live[t]]  # e * beta / scale
                 beta[: live[t]] = e[x:y] @ flip
-            move += self.move * (before.T @ e)  # before is 0 at the first step
-            alpha /= np.maximum(alpha @ ones, np.float32(1e-30))[:, None]
-            part = ids[at[t0] : at[t1]].astype(np.int64)
-            for s in range(STATES):
-                emit[:, s] += np.bincount(part, weights=alpha[:, s], minlength=CLASSES)
+            sums = np.maximum(alpha @ ones, np.float32(1e-30))[:, None]
+            alpha /= sums
+            e /= sums  # pieces end in vectors of any scale
+            move += self.move * (before.T @ e)  # before is 0 at the first step of a sequence
+            part = ids[at[t0] : at[t1]]
+            by = np.argsort(part, kind="stable")
+            some = part[by]
+            heads = np.flatnonzero(np.diff(some.astype(np.int64), prepend=-1))
+            emit[some[heads]] += np.add.reduceat(alpha[by], heads, axis=0)
             if t0 == 0:
-                start += alpha[: len(seqs)][np.array(opens, bool)[order]].sum(axis=0)
+                start += alpha[: len(parts)][opens].sum(axis=0)
         return start, move, emit
 
-    def log10(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """log10 of the exact likelihood of each whole sequence."""
-        out = np.zeros(len(seqs))
-        short = [i for i, s in enumerate(seqs) if len(s) <= 2 * PIECE]
-        for idx, ids, lengths in padded([seqs[i] for i in short], 1024):
-            a = self.start * self.emit[ids[0]]
-            total = np.zeros(ids.shape[1])
-            for t in range(ids.shape[0]):
-                live = t < lengths
-                if t:
-                    a = (a @ self.move) * self.emit[ids[t]]
-                c = np.maximum(a.sum(axis=1), 1e-37)
-                a /= c[:, None]
-                total += np.where(live, np.log10(c), 0.0)
-            out[[short[i] for i in idx]] = total
-        long = [i for i, s in enumerate(seqs) if len(s) > 2 * PIECE]
-        pieces, owner = [], []
-        for i in long:
-            s = seqs[i]
-            pieces += [s[k : k + PIECE] for k in range(0, len(s), PIECE)]
-            owner += [i] * (-(-len(s) // PIECE))
-        head = {i: True for i in long}
-        if pieces:
-            # The transfer matrix of a piece: row j is the forward vector after it when the state before it was j.
-            mats, scales = np.zeros((len(pieces), STATES, STATES)), np.zeros(len(pieces))
-            for idx, ids, lengths in padded(pieces, 256):
-                n = ids.shape[1]
-                m = np.broadcast_to(np.eye(STATES, dtype=np.float32), (n, STATES, STATES)).copy()
-                total = np.zeros(n)
-                for t in range(ids.shape[0]):
-                    live = t < lengths
-                    new = (m.reshape(-1, STATES) @ self.move).reshape(n, STATES, STATES) * self.emit[ids[t]][:, None, :]
-                    c = np.maximum(new.max(axis=(1, 2)), 1e-37)
-                    new /= c[:, None, None]
-                    m = np.where(live[:, None, None], new, m)
-                    total += np.where(live, np.log10(c), 0.0)
-                mats[idx], scales[idx] = m, total
-            # The first token comes from the start, not from a move: take the vector that moves to the start distribution out.
-            state: np.ndarray | None = None
-            for k, i in enumerate(owner):
-                if head.pop(i, False):
-                    state = None
-                if state is None:
-                    state, add = self._open(pieces[k])
-                else:
-                    state = state @ mats[k]
-                    add = scales[k]
-                c = max(state.sum(), 1e-300)
-                state = state / c
-                out[i] += add + np.log10(c)
-        return out
-
-    def _open(self, piece: np.ndarray) -> tuple[np.ndarray, float]:
-        a, total = (self.start * self.emit[piece[0]]).astype(float), 0.0
-        for t in range(1, len(piece)):
-            c = max(a.sum(), 1e-300)
-            total += np.log10(c)
-            a = (a / c @ self.move) * self.emit[piece[t]]
-        return a, total
 
+def train(encoded: DataFrame, unigram: np.ndarray, class_n: np.ndarray, rounds: int = 6) -> Hmm:
+    """encoded: classes of the training documents, all of which enter each round; class_n: their tokens by class.
 
-def padded(seqs: list[np.ndarray], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of sequences of similar length: their numbers, ids as (step, sequence), and lengths."""
-    size = np.array([len(s) for s in seqs], np.int64)
-    order = np.argsort(size, kind="stable")
-    a = 0
-    while a < len(order):
-        b = min(a + rows, len(order))
-        top = size[order[b - 1]]
-        while b - a > 64 and size[order[a]] * 2 < top:  # not too much padding
-            b = a + max(64, (b - a) // 2)
-            top = size[order[b - 1]]
-        idx = order[a:b]
-        ids = np.full((top, len(idx)), END, np.int64)
-        for j, i in enumerate(idx):
-            ids[: size[i], j] = seqs[i]
-        yield idx, ids, size[idx]
-        a = b
-
-
-def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = 7) -> Hmm:
-    """encoded: classes of the training documents, all of which enter each round."""
+    A class takes KAPPA further tokens spread over the states as all tokens are, so the states of a rare class stay open and
+    those of a frequent one are the data's; then its emissions are scaled to its own number of tokens."""
     spark = encoded.sparkSession
     model = Hmm.first(unigram)
-    prior = unigram[:, None] * 50.0
+    tasks = encoded.rdd.getNumPartitions()  # of a scan: its files' splits
+    share = class_n[:, None] + 0.5
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
@@ -262,7 +269,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = 7) -> Hmm:
             held: list[np.ndarray] = []
 
             def add() -> None:
-                parts = sent.value.expected(held, [True] * len(held))
+                parts = sent.value.expected(held)
                 np.add(total, np.concatenate([x.ravel() for x in parts]), out=total)
                 held.clear()
 
@@ -276,12 +283,13 @@ def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = 7) -> Hmm:
                         tokens = 0
             if held:
                 add()
-            parts, values = array_rows(total.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(values, pa.binary())], ["part", "cells"])
+            yield from array_rows(total.astype(np.float32))  # a task's counts; their sums are doubles
 
-        total = sum_arrays(encoded.select("classes").mapInArrow(run, ARRAY_SCHEMA), "float32", STATES + STATES * STATES + CLASSES * STATES).astype(float)
+        total = sum_arrays(encoded.select("classes").mapInArrow(run, ARRAY_SCHEMA), "float32", STATES + STATES * STATES + CLASSES * STATES, tasks)
         sent.unpersist()
-        start, move, emit = total[:STATES] + 1, total[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1, total[STATES + STATES**2 :].reshape(CLASSES, STATES) + prior
+        start, move, emit = total[:STATES] + 1, total[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1, total[STATES + STATES**2 :].reshape(CLASSES, STATES)
+        use = (emit.sum(axis=0) + 1) / (emit.sum() + STATES)
+        emit = share * (emit + KAPPA * use) / (class_n[:, None] + KAPPA)
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     return model
 
@@ -308,17 +316,17 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         words = frequent["h"].to_numpy().view(U)
         order = np.argsort(words)
         heavy = spark.sparkContext.broadcast((words[order], frequent["c"].to_numpy()[order], ends))
-        encoded = scratch.table(docs.mapInArrow(encode(heavy, spark.sparkContext.broadcast(log_class)), ENCODED))
-        whole = encoded.filter("h is null")
-        model = spark.sparkContext.broadcast(train(whole.filter("not held_out").select("classes"), unigram))
-        rare = encoded.filter("h is not null").select("rid", "h", "tf").join(counts.filter(F.col("c") * HEAVY < n), "h")
+        rows = docs.mapInArrow(encode(heavy, spark.sparkContext.broadcast(log_class)), ENCODED)
+        rows = rows.withColumn("kind", F.when(F.col("h").isNotNull(), 2).otherwise(F.col("held_out").cast("int")))
+        encoded = scratch.table(rows, by="kind")  # training texts, others and rare words apart, so each round reads only what it needs
+        whole = encoded.filter("kind < 2")
+        model = spark.sparkContext.broadcast(train(encoded.filter("kind = 0").select("classes"), unigram, class_n))
+        rare = encoded.filter("kind = 2").select("rid", "h", "tf").join(counts.filter(F.col("c") * HEAVY < n), "h")
         rare = rare.groupBy("rid").agg(F.sum("tf").alias("rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("rare_log"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_class")), pa.array(model.value.log10(sequences(part)))], ["rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_class", "log_hmm"])
+            for batch in blocks(batches, column="classes", size=2 * TOGETHER):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_class")), pa.array(model.value.log10(sequences(batch)))], ["rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_class", "log_hmm"])
 
         scored = whole.select("rid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_class", "classes").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, log_c double, log_class double, log_hmm double")
         out = scored.join(rare, "rid", "left")

@@ -57,7 +57,7 @@ def sign_documents(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = np.zeros(1 << CELL_BITS, np.int32), set()
-        names = ["doc_id", "n", "fp", "m0", "m1", "m2", "part", "cells"]
+        names = ["doc_id", "n", "fp", "m0", "m1", "m2", "part", "task", "cells"]
         for batch in blocks(batches):
             block = Block(batch.column("text"), lower=True)
             rows = np.zeros((5, block.n_docs), U)
@@ -73,11 +73,10 @@ def sign_documents(k: int):
             if fresh:
                 np.add.at(cells, (np.concatenate(fresh) & U((1 << CELL_BITS) - 1)).astype(np.int64), 1)
             none = pa.nulls(block.n_docs, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows[0].astype(np.int32)), *(signed(r) for r in rows[1:]), none, pa.nulls(block.n_docs, pa.binary())], names)
-        parts, values = array_rows(cells)
-        for a in range(0, len(parts), 64):
-            m = len(parts[a : a + 64])
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.array(parts[a : a + 64], pa.int32()), pa.array(values[a : a + 64], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows[0].astype(np.int32)), *(signed(r) for r in rows[1:]), none, none, pa.nulls(block.n_docs, pa.binary())], names)
+        for batch in array_rows(cells):
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(4)), *batch.columns], names)
 
     return run
 
@@ -247,9 +246,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ship(spark)
     docs = docs.select("doc_id", "text")
     with Scratch(spark) as scratch:
-        both = scratch.table(docs.mapInArrow(sign_documents(k), "doc_id long, n int, fp long, m0 long, m1 long, m2 long, part int, cells binary"))
+        both = scratch.table(docs.mapInArrow(sign_documents(k), "doc_id long, n int, fp long, m0 long, m1 long, m2 long, part int, task int, cells binary"))
         signs = both.filter("part is null")
-        cells = spark.sparkContext.broadcast(sum_arrays(both.filter("part is not null").select("part", "cells"), "int32", 1 << CELL_BITS))
+        cells = spark.sparkContext.broadcast(sum_arrays(both.filter("part is not null").select("part", "task", "cells"), "int32", 1 << CELL_BITS, both.agg(F.max("task")).first()[0] or 0))
         classes = scratch.table(signs.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(STARS))))
         # Stars: each class of a minimum-hash group against one pivot of the group; large groups get further pivots, for those
         # of its classes that aren't yet in the pivot's component.

@@ -6,10 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,15 +67,16 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame, group_rows: int | None = None) -> DataFrame:
-        """group_rows bounds the rows of a row group, for tables whose rows are megabytes: readers hold a row group at a time.
+    def table(self, df: DataFrame, group_rows: int | None = None, by: str | None = None) -> DataFrame:
+        """by: an integer column of few values, each written in a folder of its own.
+        group_rows bounds the rows of a row group, for tables whose rows are megabytes: readers hold a row group at a time.
 
         Such tables take zstd, which works in small buffers; Snappy's are as large as a page and lie outside the heap.
         """
         self.n += 1
         path = f"{self.base}/{self.n}"
         writer = df.write.option("parquet.block.row.count.limit", group_rows).option("compression", "zstd") if group_rows else df.write
-        writer.parquet(path)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_: object) -> None:
@@ -93,36 +96,46 @@ def crc_mod(doc_id, m: int):
 
 
 SLICE = 1 << 14
-ARRAY_SCHEMA = "part int, cells binary"
-
-
-def array_rows(values: np.ndarray, first: int = 0):
-    """An array as rows of (slice number, bytes), without slices that are all zero."""
-    flat = np.ascontiguousarray(values).ravel()
-    parts, cells = [], []
-    for k in range(0, len(flat), SLICE):
-        piece = flat[k : k + SLICE]
-        if piece.any():
-            parts.append(first + k // SLICE)
-            cells.append(piece.tobytes())
-    return parts, cells
-
-
-def sum_arrays(df: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """Sum of the arrays that tasks emitted as (part, cells); slices are summed on the executors, and the driver gets one array of the fixed size."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for chunk in table["cells"].chunks:
-            for x in chunk:
-                one = np.frombuffer(x.as_buffer(), dtype=dtype)
-                total = one.copy() if total is None else total + one
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(size, dtype=dtype)
-    for row in df.groupBy("part").applyInArrow(add, ARRAY_SCHEMA).collect():
-        piece = np.frombuffer(row["cells"], dtype=dtype)
-        out[row["part"] * SLICE : row["part"] * SLICE + len(piece)] = piece
+FAN = 64
+ARRAY_SCHEMA = "part int, task int, cells binary"
+
+
+def array_rows(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's array as rows of (slice number, task, bytes), without slices that are all zero."""
+    flat, task = np.ascontiguousarray(values).ravel(), TaskContext.get().partitionId()
+    parts = [k for k in range(-(-len(flat) // SLICE)) if flat[k * SLICE : (k + 1) * SLICE].any()]
+    for a in range(0, len(parts), 64):
+        some = parts[a : a + 64]
+        cells = [flat[k * SLICE : (k + 1) * SLICE].tobytes() for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([task] * len(some), pa.int32()), pa.array(cells, pa.binary())], ["part", "task", "cells"])
+
+
+def sum_arrays(df: DataFrame, dtype: str, size: int, tasks: int) -> np.ndarray:
+    """Sum of the arrays of `dtype` that so many tasks emitted, in doubles or 64-bit integers. Slices are summed on the executors
+    by a tree, at most FAN of them in a group, and the driver gets one array of the given size."""
+    wide = "int64" if np.dtype(dtype).kind in "iu" else "float64"
+
+    def add(kind: str):
+        def run(table: pa.Table) -> pa.Table:
+            total = None
+            for chunk in table["cells"].chunks:
+                for x in chunk:
+                    one = np.frombuffer(x.as_buffer(), dtype=kind)
+                    total = one.astype(wide) if total is None else np.add(total, one, out=total)
+            return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "task": pa.array([table["task"][0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+
+        return run
+
+    kind = dtype
+    while True:
+        df = df.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("part", "task").applyInArrow(add(kind), ARRAY_SCHEMA)
+        tasks, kind = -(-tasks // FAN), wide
+        if tasks <= 1:
+            break
+    out = np.zeros(size, dtype=wide)
+    for row in df.collect():
+        piece = np.frombuffer(row["cells"], dtype=wide)
+        out[row["part"] * SLICE : row["part"] * SLICE + len(piece)] += piece
     return out
 
 
