@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, maybe_broadcast
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge (a, b) that isn't itself the smallest of its component; edges hold longs."""
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root) for every node of an edge (a, b) that isn't itself the smallest of its component; edges hold longs.
+
+    A node's smallest neighbour is an aggregate that is joined back, so a star's centre is never one task's group. Rounds grow
+    with the logarithm of the nodes; if the edges still change after `rounds`, that is an error."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    w = Window.partitionBy("u")
     state = None
     for _ in range(rounds):
         seen = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (seen["n"], seen["h"]) == state or not seen["n"]:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = (seen["n"], seen["h"])
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(w))
-        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = cut(small.filter("u <> v").distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # Large star: larger neighbours go to the smallest of a node's neighbourhood. A node that is its neighbourhood's smallest keeps its own.
+        lower = maybe_broadcast(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m"))
+        large = e.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours go to the smallest of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+    raise RuntimeError(f"components: not settled after {rounds} rounds")

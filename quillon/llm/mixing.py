@@ -51,6 +51,26 @@ def uniform(seed: str):
 
 def pareto_mix(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken for every row of docs."""
+    return _plan(docs, seed).drop("_crc")
+
+
+def mix_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    A row is found again by id, source and checksum of its text; of rows that agree in all three, one stands for all of them,
+    as often as they are taken in all."""
+    keys = ["doc_id", "source", "_crc"]
+    plan = _plan(docs, seed).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike")).filter("_copies > 0")
+    plan = maybe_broadcast(cut(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_crc").alias("_c"), "_copies", "_alike")))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (crc == F.col("_c")))
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    alike = rows.filter("_alike > 1").groupBy("_d", "_s", "_c", "_copies").agg(F.min_by(F.struct(*cells), F.xxhash64(*cells)).alias("_row"))
+    once = rows.filter("_alike = 1").select(*cells, "_copies").unionAll(alike.select("_row.*", "_copies"))
+    return once.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")
+
+
+def _plan(docs: DataFrame, seed: str) -> DataFrame:
     base = docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"))
     base = cut(base.withColumn("_row", F.monotonically_increasing_id()))
     plan = maybe_broadcast(cut(targets(base)))
@@ -73,10 +93,10 @@ def pareto_mix(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     edge = edge.withColumn("_sofar", F.col("_before") + F.coalesce(F.sum("size").over(w), F.lit(0)))
     edge = edge.withColumn("_in", (F.col("_sofar") + F.col("size") / 2 <= F.col("_rest")))
     rest = rows.filter(at.isNull()).withColumn("_in", F.col("_bin").isNotNull() & (F.col("_mark").isNull() | (F.col("_bin") < F.col("_mark"))))
-    keep = ["doc_id", "size", "source", "source_size", "target", "_whole", "_in"]
+    keep = ["doc_id", "size", "source", "source_size", "target", "_whole", "_in", "_crc"]
     out = rest.select(*keep).unionAll(edge.select(*keep))
     copies = (F.col("_whole") + F.coalesce(F.col("_in"), F.lit(False)).cast("int")).cast("long")
-    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long"))).select("doc_id", "size", "source", "source_size", F.round("target", 4).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long"))).select("doc_id", "size", "source", "source_size", F.round("target", 4).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"), "_crc")
 
 
 ORACLE = r"""
