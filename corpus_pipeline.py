@@ -5,13 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm.jaccard import keep_one
-from quillon.llm.mixing import pareto_mix
+from quillon.llm.mixing import mix_documents
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import score_quality, train_quality
-from quillon.llm.runtime import cut, shared_dir, ship
+from quillon.llm.runtime import shared_dir, ship
 from quillon.llm.toxicity import score_toxicity, train_chain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,9 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times."""
-    copies = cut(pareto_mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")))
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*COLUMNS)
+    return mix_documents(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
