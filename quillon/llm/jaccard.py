@@ -281,7 +281,7 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / group) - 1)).alias("salt")
         grouped = keys.join(large, "key", "left").select("fp", "n", "key", salt)
         grouped = scratch.table(grouped.join(groups.select("key", "c", salts), ["key", "salt"]))
-        sets = scratch.table(sets_of(docs, grouped.select("fp").distinct(), k))
+        sets = scratch.table(sets_of(docs, grouped.select("fp").distinct(), k), codec="uncompressed")  # hashes
         links = roots = None
         for turn in range(PIVOTS):
             rows = grouped if turn == 0 else grouped.filter(F.col("c") > 16).join(maybe_broadcast(roots.select(F.col("node").alias("fp"), "root")), "fp", "left")

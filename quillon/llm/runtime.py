@@ -67,15 +67,17 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame, group_rows: int | None = None, by: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame, group_rows: int | None = None, by: str | None = None, codec: str = "zstd") -> DataFrame:
         """by: an integer column of few values, each written in a folder of its own.
         group_rows bounds the rows of a row group, for tables whose rows are megabytes: readers hold a row group at a time.
 
-        Such tables take zstd, which works in small buffers; Snappy's are as large as a page and lie outside the heap.
+        Tables take zstd, which works in small buffers; Snappy's are as large as a page and lie outside the heap until they are collected.
         """
         self.n += 1
         path = f"{self.base}/{self.n}"
-        writer = df.write.option("parquet.block.row.count.limit", group_rows).option("compression", "zstd") if group_rows else df.write
+        writer = df.write.option("compression", codec)
+        if group_rows:
+            writer = writer.option("parquet.block.row.count.limit", group_rows)
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
