@@ -132,7 +132,7 @@ def index_prefixes(k: int, percent: int, cells, crowd: int = CROWD):
                 o = needed(n, percent)
                 base, most = n - o + 1, min(MOST_L, o)
                 prefix = order[: base + most - 1]
-                l = choose_l(estimate[prefix], n, base, most)
+                l = choose_l(counter[prefix], n, base, most)
                 prefix = prefix[: base + l - 1]
                 level = np.maximum(np.arange(len(prefix)) - base + 2, 1)
                 on = counter[prefix] > 1  # a counter of 1 proves that no other class has the shingle
@@ -254,6 +254,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, k: int, bound: int = 2_000_000)
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with 100 * intersection >= percent * union."""
+    needed_sets = maybe_broadcast(cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+    sets = sets.join(needed_sets, "fp", "left_semi")
     left, right = sets.select(F.col("fp").alias("a"), F.col("items").alias("_x")), sets.select(F.col("fp").alias("b"), F.col("items").alias("_y"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("_x", "_y"))
@@ -290,7 +292,7 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
             close = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
             apart = (F.col("fp") != F.col("p.fp")) & (F.lit(turn == 0) | (F.col("root") != F.col("p.root")))
             pairs = rows.join(pivots.select("key", "p", salts), ["key", "salt"]).filter(apart & close).select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
-            found = scratch.table(verified(pairs, sets, percent))
+            found = scratch.table(verified(scratch.table(pairs), sets, percent))
             links = found if links is None else links.unionAll(found)
             roots = components(links)
         index = docs.select("text").mapInArrow(index_prefixes(k, percent, cells, crowd), "token long, side int, fp long, n int, level int, l int, parity binary")
