@@ -1,9 +1,9 @@
 """Optimal length buckets and token-budget batches.
 
-The histogram of token counts covers all documents. Dynamic programming over it chooses at most `buckets` upper lengths
-that minimise the padding of all documents to their bucket's length. Lengths up to 4096 are kept exactly, longer ones are
-taken up to a multiple of a power of two within 1/2048 of their size, so the histogram is bounded (about 2,000 entries for
-each doubling) whatever the input. Inside a bucket of length L a batch holds max(1, budget // L) rows, the last one fewer.
+The histogram of token counts covers all documents and every length exactly. It has at most sqrt(2 * tokens) entries, as that many
+distinct lengths need so many tokens (5.7 million for 16 * 10^12 tokens), so the driver may hold it. Dynamic programming over
+it chooses at most `buckets` upper lengths that minimise the padding of all documents to their bucket's length. Inside a bucket
+of length L a batch holds max(1, budget // L) rows, the last one fewer.
 
 Defined results: a null or empty text has 0 tokens and is padded to its bucket; a document longer than the budget is a
 batch of its own; repeated rows are packed separately; an empty table gives an empty result. Other input columns may have
@@ -18,21 +18,14 @@ from pyspark.sql import functions as F
 
 from .runtime import cut, word_array
 
-EXACT = 4096
 PARTS = 4096
 
 
-def rounded(n):
-    """Column: the length as the histogram holds it, never smaller than n."""
-    step = F.when(n <= EXACT, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 11)).cast("long")
-    return (F.ceil(n / step) * step).cast("long")
-
-
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of the buckets with the least total padding; lengths ascend and are distinct.
 
-    cost(i, j) = lengths[j] * (rows in i..j) - (tokens in i..j) satisfies the quadrangle inequality, so each layer of the
-    dynamic program is solved by divide and conquer over monotone split points."""
+    cost(i, j) = lengths[j] * (rows in i..j) - (tokens in i..j) satisfies the quadrangle inequality, so split points ascend with
+    the end, and each layer is solved by halving: all ends of one depth at once, each over the range that its neighbours leave."""
     n = len(lengths)
     if n == 0:
         return []
@@ -42,23 +35,25 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     splits: list[np.ndarray] = []
     for _ in range(min(buckets, n) - 1):
         new, arg = best.copy(), np.full(n, -1, np.int64)  # -1: no further bucket
-        stack = [(0, n - 1, 0, n - 1)]
-        while stack:
-            a, b, lo, hi = stack.pop()
-            if a > b:
-                continue
+        a, b, lo, hi = (np.array([v], np.int64) for v in (0, n - 1, 0, n - 1))
+        while len(a):
             mid = (a + b) // 2
-            top = min(mid - 1, hi)
-            if top >= lo:
-                i = np.arange(lo, top + 1)
-                cost = best[i] + x[mid] * (rows[mid + 1] - rows[i + 1]) - (toks[mid + 1] - toks[i + 1])
-                k = int(np.argmin(cost))
-                at = int(i[k])
-                if cost[k] < new[mid]:
-                    new[mid], arg[mid] = cost[k], at
-            else:
-                at = lo
-            stack += [(a, mid - 1, lo, at), (mid + 1, b, at, hi)]
+            size = np.maximum(np.minimum(mid - 1, hi) - lo + 1, 0)
+            at, some = lo.copy(), np.flatnonzero(size)
+            if len(some):
+                ends = np.cumsum(size[some])
+                of = np.repeat(some, size[some])
+                i = np.arange(ends[-1]) - np.repeat(ends - size[some], size[some]) + lo[of]
+                cost = best[i] + x[mid[of]] * (rows[mid[of] + 1] - rows[i + 1]) - (toks[mid[of] + 1] - toks[i + 1])
+                least = np.minimum.reduceat(cost, ends - size[some])
+                hits = np.flatnonzero(cost == np.repeat(least, size[some]))
+                firsts = hits[np.searchsorted(hits, ends - size[some])]  # the first split of the least cost
+                at[some] = i[firsts]
+                lower = least < new[mid[some]]
+                new[mid[some][lower]], arg[mid[some][lower]] = least[lower], at[some][lower]
+            a, b, lo, hi = np.concatenate([a, mid + 1]), np.concatenate([mid - 1, b]), np.concatenate([lo, at]), np.concatenate([at, hi])
+            on = a <= b
+            a, b, lo, hi = a[on], b[on], lo[on], hi[on]
         splits.append(arg)
         best = new
     out, j = [], n - 1
@@ -71,20 +66,37 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
 
 def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFrame:
-    """All columns of docs with n_tokens, bucket, bucket_tokens, batch, slot and pad_tokens."""
-    added = ["n_tokens", "bucket", "bucket_tokens", "batch", "slot", "pad_tokens", "_len", "_part", "_at"]
+    """All columns of docs with n_tokens, bucket, bucket_tokens, batch, slot and pad_tokens.
+
+    Texts are read twice: once for narrow rows, from which buckets and the parts' first ranks come, and once to carry them along;
+    without a text to carry (`pack_lengths`), once."""
+    added = ["n_tokens", "bucket", "bucket_tokens", "batch", "slot", "pad_tokens", "_part", "_at", "_first"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    base = docs.select(*(F.col(f"`{c}`") for c in kept), F.size(word_array(F.col("text"))).cast("long").alias("n_tokens"))
-    base = base.withColumn("_len", rounded(F.col("n_tokens"))).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int"))
-    histogram = base.groupBy("_len").count().orderBy("_len").collect()  # bounded, see above
-    bounds = best_boundaries(np.array([r["_len"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.float64), buckets)
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), *_measures())
+    return _packed(rows, cut(rows.select("doc_id", "n_tokens", "_part")), kept, buckets, budget)
+
+
+def pack_lengths(docs: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFrame:
+    """doc_id, n_tokens, bucket, bucket_tokens, batch, slot and pad_tokens of every row of docs."""
+    rows = cut(docs.select("doc_id", *_measures()))
+    return _packed(rows, rows, ["doc_id"], buckets, budget)
+
+
+def _measures():
+    part = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int").alias("_part")
+    return F.size(word_array(F.col("text"))).cast("long").alias("n_tokens"), part
+
+
+def _packed(base: DataFrame, narrow: DataFrame, kept: list[str], buckets: int, budget: int) -> DataFrame:
+    histogram = narrow.groupBy("n_tokens").count().orderBy("n_tokens").toArrow()  # bounded, see above
+    bounds = best_boundaries(histogram["n_tokens"].to_numpy(), histogram["count"].to_numpy().astype(np.float64), buckets)
     bucket, length = F.lit(None).cast("int"), F.lit(None).cast("long")
     for k in range(len(bounds) - 1, -1, -1):
-        inside = F.col("_len") <= bounds[k]
+        inside = F.col("n_tokens") <= bounds[k]
         bucket, length = F.when(inside, F.lit(k)).otherwise(bucket), F.when(inside, F.lit(bounds[k]).cast("long")).otherwise(length)
     base = base.withColumn("bucket", bucket).withColumn("bucket_tokens", length)
     # Ranks in a bucket without one task for each: counts by part give each part's first rank.
-    counts = base.groupBy("bucket", "_part").count()
+    counts = narrow.groupBy(bucket.alias("bucket"), "_part").count()
     first = F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = cut(counts.select("bucket", "_part", first.alias("_first")))  # at most buckets * PARTS rows
     w = Window.partitionBy("bucket", "_part").orderBy(F.col("doc_id").asc_nulls_last(), "n_tokens")

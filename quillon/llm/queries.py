@@ -12,7 +12,7 @@ from .bm25 import bm25_top
 from .hmm import lm_scores
 from .jaccard import ngram_jaccard
 from .kneser import quality_rules
-from .packing import pack_documents
+from .packing import pack_lengths
 from .quality import classify_quality
 from .sharding import pack_shards
 from .tokens import token_counts
@@ -61,7 +61,7 @@ def op9_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "bucket", "bucket_tokens", "batch", "slot", "pad_tokens")
+    return pack_lengths(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
