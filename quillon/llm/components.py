@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, maybe_broadcast
+from .runtime import cut
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of an edge (a, b) that isn't itself the smallest of its component; edges hold longs.
 
-    A node's smallest neighbour is an aggregate that is joined back, so a star's centre is never one task's group. Rounds grow
+    A node's smallest neighbour is an aggregate that is joined back (the edges of a star's centre stream past it, and adaptive
+    execution may split them), so a centre's edges are never one task's group to hold. Rounds grow
     with the logarithm of the nodes; if the edges still change after `rounds`, that is an error."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
@@ -21,7 +22,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = (seen["n"], seen["h"])
         # Large star: larger neighbours go to the smallest of a node's neighbourhood. A node that is its neighbourhood's smallest keeps its own.
-        lower = maybe_broadcast(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m"))
+        lower = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
         large = e.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))

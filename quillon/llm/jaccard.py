@@ -272,7 +272,8 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
         both = scratch.table(docs.mapInArrow(sign_documents(k), "doc_id long, n int, fp long, m0 long, m1 long, m2 long, part int, task int, cells binary"))
         signs = both.filter("part is null")
         counters = sum_arrays(both.filter("part is not null").select("part", "task", "cells"), "int32", 1 << CELL_BITS, both.agg(F.max("task")).first()[0] or 0)
-        cells = spark.sparkContext.broadcast((np.minimum(counters, (1 << 32) - 1).astype(np.uint32), int(np.median(counters))))  # a full counter stays full: only the order depends on it
+        cells = spark.sparkContext.broadcast((counters, int(np.median(counters))))  # a full counter stays full: only the order depends on it
+        del counters
         classes = scratch.table(signs.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(STARS))))
         # Stars: each class of a minimum-hash group against one pivot of the group; large groups get further pivots, for those
         # of its classes that aren't yet in the pivot's component.

@@ -113,31 +113,34 @@ def array_rows(values: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def sum_arrays(df: DataFrame, dtype: str, size: int, tasks: int) -> np.ndarray:
-    """Sum of the arrays of `dtype` that so many tasks emitted, in doubles or 64-bit integers. Slices are summed on the executors
-    by a tree, at most FAN of them in a group, and the driver gets one array of the given size."""
+    """Sum of the arrays of `dtype` that so many tasks emitted, in doubles or 64-bit integers; the latter come back as unsigned
+    32-bit numbers, where a full one stays full. Slices are summed on the executors by a tree, at most FAN of them in a group, and the
+    driver gets one array of the given size."""
     wide = "int64" if np.dtype(dtype).kind in "iu" else "float64"
 
-    def add(kind: str):
+    def add(kind: str, last: bool):
         def run(table: pa.Table) -> pa.Table:
             total = None
             for chunk in table["cells"].chunks:
                 for x in chunk:
                     one = np.frombuffer(x.as_buffer(), dtype=kind)
                     total = one.astype(wide) if total is None else np.add(total, one, out=total)
+            if last and wide == "int64":
+                total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
             return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "task": pa.array([table["task"][0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
         return run
 
-    kind = dtype
-    while True:
-        df = df.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("part", "task").applyInArrow(add(kind), ARRAY_SCHEMA)
-        tasks, kind = -(-tasks // FAN), wide
-        if tasks <= 1:
-            break
-    out = np.zeros(size, dtype=wide)
-    for row in df.collect():
-        piece = np.frombuffer(row["cells"], dtype=wide)
-        out[row["part"] * SLICE : row["part"] * SLICE + len(piece)] += piece
+    kind, last = dtype, False
+    while not last:
+        tasks = -(-tasks // FAN)
+        last = tasks <= 1
+        df = df.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("part", "task").applyInArrow(add(kind, last), ARRAY_SCHEMA)
+        kind = wide
+    out = np.zeros(size, dtype="uint32" if wide == "int64" else wide)
+    for row in df.select("part", "cells").collect():
+        piece = np.frombuffer(row["cells"], dtype=out.dtype)
+        out[row["part"] * SLICE : row["part"] * SLICE + len(piece)] = piece
     return out
 
 
