@@ -263,6 +263,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("_s", shared).filter(100 * F.col("_s") >= percent * union).select("a", "b")
 
 
+def joined_roots(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components of all links so far: those before are stars already, so few rounds join the new links."""
+    return components(found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and root (the component's smallest class; null for empty sets) of every row of docs."""
     spark = docs.sparkSession
@@ -285,7 +290,7 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
         grouped = keys.join(large, "key", "left").select("fp", "n", "key", salt)
         grouped = scratch.table(grouped.join(groups.select("key", "c", salts), ["key", "salt"]))
         sets = scratch.table(sets_of(docs, grouped.select("fp").distinct(), k), codec="uncompressed")  # hashes
-        links = roots = None
+        roots = None
         for turn in range(PIVOTS):
             rows = grouped if turn == 0 else grouped.filter(F.col("c") > 16).join(maybe_broadcast(roots.select(F.col("node").alias("fp"), "root")), "fp", "left")
             rows = rows.withColumn("root", F.lit(None).cast("long") if turn == 0 else F.coalesce("root", "fp"))
@@ -294,8 +299,8 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
             apart = (F.col("fp") != F.col("p.fp")) & (F.lit(turn == 0) | (F.col("root") != F.col("p.root")))
             pairs = rows.join(pivots.select("key", "p", salts), ["key", "salt"]).filter(apart & close).select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
             found = scratch.table(verified(scratch.table(pairs), sets, percent))
-            links = found if links is None else links.unionAll(found)
-            roots = components(links)
+            if turn == 0 or not small(found, 0):
+                roots = joined_roots(roots, found)
         index = docs.select("text").mapInArrow(index_prefixes(k, percent, cells, crowd), "token long, side int, fp long, n int, level int, l int, parity binary")
         labels = maybe_broadcast(roots.select(F.col("node").alias("fp"), "root"))
         index = index.join(labels, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).select("token", "side", "fp", "n", "level", "l", "comp", "parity")
@@ -305,8 +310,7 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
         missing = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
         missing = scratch.table(missing)
         more = scratch.table(sets_of(docs, missing, k))
-        links = scratch.table(links.unionAll(verified(found, sets.unionAll(more), percent)))
-        roots = components(links)
+        roots = joined_roots(roots, scratch.table(verified(found, sets.unionAll(more), percent)))
         class_root = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
         least = class_root.groupBy("root").agg(F.min("first").alias("least"))
         answer = class_root.join(least, "root").select(F.col("fp").alias("class_id"), "least", "root")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import release
 from .textkit import Block, blocks, mix
 
 BITS = 20
@@ -49,7 +50,7 @@ def gather(sample: DataFrame, features: Features, lower: bool, labels: list[str]
     often = counts >= least
     rows = [r[often[r]] for r in rows]
     del cells, table
-    pa.default_memory_pool().release_unused()
+    release()
     return rows, y[order]
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import Fit, bucket, gather, labelled_sample
-from .runtime import crc_mod, ship
+from .runtime import crc_mod, release, ship
 from .textkit import Block, blocks
 
 _KIND = np.zeros(256, np.uint8)
@@ -52,7 +52,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = 8000, holdout:
     """Labels of ids with crc32 modulo `holdout` = 0 are never used."""
     labels = labels.filter(crc_mod(F.col("doc_id"), holdout) != 0)
     rows, y = gather(labelled_sample(docs, labels, ["quality"], most, 8), quality_features, False, ["quality"], 3)
-    return Fit(rows, y[:, 0] if len(y) else np.zeros(0, np.int64)).slim()
+    fit = Fit(rows, y[:, 0] if len(y) else np.zeros(0, np.int64)).slim()
+    del rows
+    release()
+    return fit
 
 
 def score_quality(docs: DataFrame, fit: Fit, holdout: int = 5, threshold: float = 0.3) -> DataFrame:

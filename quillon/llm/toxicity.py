@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import Fit, bucket, gather, labelled_sample
-from .runtime import ship
+from .runtime import release, ship
 from .textkit import Block, blocks
 
 CATEGORIES = ("unusable", "toxic")
@@ -50,6 +50,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, most: int = 16000) -> list[F
         fit = Fit(rows, y[:, k] if len(y) else np.zeros(0, np.int64), extra=before, unit=False, least=2, sure=2.0)
         before = np.column_stack([before, fit.oof])
         chain.append(fit.slim())
+    del rows
+    release()
     return chain
 
 
