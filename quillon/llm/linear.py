@@ -40,18 +40,25 @@ def gather(sample: DataFrame, features: Features, lower: bool, labels: list[str]
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), *(batch.column(c).cast(pa.int32()) for c in labels)], ["ids", *labels])
 
     table = sample.select("text", *labels).mapInArrow(run, f"ids binary, {', '.join(f'{c} int' for c in labels)}").toArrow()
-    cells = [x.as_buffer() for chunk in table["ids"].chunks for x in chunk]  # views, not copies
-    y = np.column_stack([table[c].to_numpy() for c in labels]).astype(np.int64).reshape(len(cells), len(labels))
-    order = sorted(range(len(cells)), key=lambda i: (zlib.crc32(cells[i]), cells[i].size, *y[i]))  # the same order in every run
-    rows = [np.frombuffer(cells[i], np.int32) for i in order]
-    counts = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        counts[r] += 1  # a document's features are distinct
+    y = np.column_stack([table[c].to_numpy() for c in labels]).astype(np.int64).reshape(table.num_rows, len(labels))
+    chunks = table["ids"].chunks
+    del table
+    counts, keys = np.zeros(1 << BITS, np.int32), []
+    for chunk in chunks:
+        for x in chunk:
+            cell = x.as_buffer()
+            counts[np.frombuffer(cell, np.int32)] += 1  # a document's features are distinct
+            keys.append((zlib.crc32(cell), cell.size))
     often = counts >= least
-    rows = [r[often[r]] for r in rows]
-    del cells, table
+    found: list[np.ndarray] = []
+    while chunks:  # a chunk at a time: the table goes as the rows come
+        for x in chunks.pop(0):
+            r = np.frombuffer(x.as_buffer(), np.int32)
+            found.append(r[often[r]])
+    order = sorted(range(len(found)), key=lambda i: (*keys[i], *y[i]))  # the same order in every run
+    del counts, keys
     release()
-    return rows, y[order]
+    return [found[i] for i in order], y[order]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, seed: int) -> DataFrame:
@@ -89,15 +96,17 @@ class Fit:
             self.oof = self.probability(margin)
 
     def _ratios(self, rows: list[np.ndarray], y: np.ndarray, least: int, sure: float) -> None:
-        p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
         for value, total in ((1, p), (0, q)):
-            some = np.flatnonzero(y == value)
-            for k in range(0, len(some), 500):  # a few rows at a time: the sample isn't copied
-                total += np.bincount(np.concatenate([rows[i] for i in some[k : k + 500]]), minlength=1 << BITS)
+            for i in np.flatnonzero(y == value):
+                total[rows[i]] += 1  # a row's features are distinct
         n1, n0 = (y == 1).sum(), (y == 0).sum()
+        on = np.flatnonzero(p + q >= least)
+        p, q = p[on], q[on]
         r = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
         error = np.sqrt(1 / (p + 1) - 1 / (n1 + 2) + 1 / (q + 1) - 1 / (n0 + 2))
-        self.ratio = np.where((p + q >= least) & (np.abs(r) > sure * error), r, 0.0)
+        keep = np.abs(r) > sure * error
+        self.ratio[on[keep]] = r[keep]
 
     def _vector(self, ids: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         ids = ids[self.ratio[ids] != 0]
