@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, array_rows, cut, maybe_broadcast, ship, small, sum_arrays
+from .runtime import Scratch, array_rows, cut, maybe_broadcast, ship, small, sum_arrays, sweep
 from .textkit import Block, blocks, mix, signed
 
 U = np.uint64
@@ -42,7 +42,7 @@ STARS = 3
 PIVOTS = 4
 MOST_L = 4
 LONG = 64
-CROWD = 4096  # classes of a shingle's list that one task compares; beyond, the list is dealt to tiles
+CROWD = 1 << 14  # classes of a shingle's list that one task compares; beyond, the list is dealt to tiles
 GROUP = 256  # rows of a minimum-hash group that one task reads; beyond, they are salted
 
 
@@ -301,6 +301,7 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
             found = scratch.table(verified(scratch.table(pairs), sets, percent))
             if turn == 0 or not small(found, 0):
                 roots = joined_roots(roots, found)
+            sweep(spark)
         index = docs.select("text").mapInArrow(index_prefixes(k, percent, cells, crowd), "token long, side int, fp long, n int, level int, l int, parity binary")
         labels = maybe_broadcast(roots.select(F.col("node").alias("fp"), "root"))
         index = index.join(labels, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).select("token", "side", "fp", "n", "level", "l", "comp", "parity")
@@ -309,6 +310,7 @@ def classes_and_roots(docs: DataFrame, k: int, percent: int, crowd: int = CROWD,
         found = scratch.table(found.filter("shared >= l").select("a", "b"))
         missing = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp"), "fp", "left_anti")
         missing = scratch.table(missing)
+        sweep(spark)
         more = scratch.table(sets_of(docs, missing, k))
         roots = joined_roots(roots, scratch.table(verified(found, sets.unionAll(more), percent)))
         class_root = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -341,6 +343,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     An id that occurs once names its row. Rows of ids that are null or repeated are told apart by their class as well."""
     groups = classes_and_roots(docs, k, percent)
+    sweep(docs.sparkSession)
     first = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id")).alias("w")).select("w.doc_id", "w.class_id")
     first = cut(first)
     several = cut(groups.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("_several")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -24,6 +25,12 @@ def release() -> None:
         trim(0)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of finished steps: its cleaner acts when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
