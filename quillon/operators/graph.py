@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,16 +33,32 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(out, "id", "left").join(into, "id", "left").fillna(0, ["out_degree", "in_degree", "weighted"]).select("id", "out_degree", "in_degree", "weighted")
 
 
-def min_max(c: str):
-    whole = Window.partitionBy(F.lit(1))
-    lo, hi = F.min(c).over(whole), F.max(c).over(whole)
-    return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
+def fragility(scores: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean of the columns, each scaled to [0, 1] over the table of vertices (0 where a column is constant)."""
+    row = scores.agg(*(f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))))
+    parts = [F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(F.lit(0.0)) for c in columns]
+    return scores.crossJoin(F.broadcast(row)).withColumn("fragility", sum(parts, F.lit(0.0)) / len(columns)).drop(*row.columns)  # one row of parameters
 
 
-def fragility(scores: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean of the columns, each scaled to [0, 1] over the table of vertices."""
-    out = scores.select("*", *(min_max(c).alias(f"_{c}") for c in columns))
-    return out.withColumn("fragility", sum((F.col(f"_{c}") for c in columns), F.lit(0.0)) / len(columns)).drop(*(f"_{c}" for c in columns))
+def centrality(communities: DataFrame, edges: DataFrame, scores: DataFrame, delays: DataFrame) -> DataFrame:
+    """id, community, weighted, betweenness, late and fragility: communities (id, community) left-joined with weighted out-degree,
+    betweenness scores (id, score) and mean delays (id, late); what is missing counts as 0."""
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.sum("n").cast("double").alias("weighted"))
+    out = communities.select("id", "community").join(degree, "id", "left").join(scores.select("id", F.col("score").alias("betweenness")), "id", "left").join(delays.select("id", "late"), "id", "left")
+    return fragility(out.fillna(0.0, ["weighted", "betweenness", "late"]), ["betweenness", "weighted", "late"])
+
+
+def low_degree_source(vertices: DataFrame, edges: DataFrame, below: int = 10) -> DataFrame:
+    """(id, degree) of the vertex of the smallest out-degree above 0 and under `below`; ties by id."""
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).filter(F.col("degree") < below)
+    return vertices.join(out, "id").select("id", "degree").orderBy("degree", "id").limit(1)
+
+
+def rerouted(edges: DataFrame, gone: DataFrame, source: str, cost: str) -> DataFrame:
+    """id, before, after, longer: cheapest costs from source in the graph and without the edges `gone`; after is null where unreachable."""
+    before = shortest_paths(edges, source, cost).select("id", F.col("cost").alias("before"))
+    after = shortest_paths(without_edges(edges, gone), source, cost).select("id", F.col("cost").alias("after"))
+    return before.join(after, "id", "left").withColumn("longer", F.col("after").isNull() | (F.col("after") > F.col("before")))
 
 
 def top_per_group(df: DataFrame, group: str, score: str, key: str, k: int, least: int = 0) -> DataFrame:
@@ -55,8 +72,9 @@ def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def shortest_paths(edges: DataFrame, source: str, cost: str, rounds: int = 100) -> DataFrame:
-    """id, cost, path of the cheapest path from source (ties: the smaller path text); min-plus rounds until nothing improves."""
+def shortest_paths(edges: DataFrame, source: str, cost: str, rounds: int = 10_000) -> DataFrame:
+    """id, cost, path of the cheapest path from source (ties: the smaller path text); min-plus rounds until nothing improves.
+    A round adds a hop; paths of more than `rounds` hops are an error."""
     spark = edges.sparkSession
     best = spark.createDataFrame([(source, 0.0, source)], "id string, cost double, path string")
     front = best
@@ -68,19 +86,20 @@ def shortest_paths(edges: DataFrame, source: str, cost: str, rounds: int = 100)
         better = step.join(old, "id", "left").filter(F.col("_c").isNull() | (F.col("cost") < F.col("_c")) | ((F.col("cost") == F.col("_c")) & (F.col("path") < F.col("_p")))).select("id", "cost", "path")
         better = checkpointed(better)
         if better.isEmpty():
-            break
+            return best
         best = checkpointed(best.join(better.select("id"), "id", "left_anti").unionByName(better))
         front = better
-    return best
+    raise RuntimeError(f"shortest_paths: not settled after {rounds} rounds")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut an iteration's lineage in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint()
 
 
@@ -129,59 +148,11 @@ def betweenness(edges: DataFrame, cost: str, most_edges: int = 2_000_000) -> Dat
     return ids.join(part.groupBy("id").agg(F.sum("score").alias("score")), "id", "left").fillna(0.0, ["score"])
 
 
-def local_louvain(pairs: list[tuple[str, str, float]]) -> dict[str, str]:
-    """Community of each vertex of an undirected weighted graph: local moves until none gains, then contraction."""
-    near: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b, w in pairs:
-        near[a][b] += w
-        near[b][a] += w  # a loop counts twice, as in degrees
-    whole = sum(sum(x.values()) for x in near.values())
-    home = {v: v for v in near}
-    while whole:
-        strength = {v: sum(x.values()) for v, x in near.items()}
-        place, total, moved, again = {v: v for v in near}, dict(strength), False, True
-        while again:
-            again = False
-            for v in sorted(near):
-                old, k = place[v], strength[v]
-                into: dict[str, float] = defaultdict(float, {old: 0.0})
-                for x, w in near[v].items():
-                    if x != v:
-                        into[place[x]] += w
-                total[old] -= k
-                gain = {c: w - k * total[c] / whole for c, w in into.items()}
-                best = max(sorted(gain), key=lambda c: gain[c])
-                if gain[best] <= gain[old] + 1e-9:
-                    best = old
-                total[best] += k
-                place[v] = best
-                again |= best != old
-            moved |= again
-        home = {v: place[c] for v, c in home.items()}
-        if not moved:
-            break
-        merged: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for v, x in near.items():
-            for y, w in x.items():
-                merged[place[v]][place[y]] += w
-        near = merged
-    return home
-
-
-def louvain(edges: DataFrame, weight: str, rounds: int = 12, levels: int = 5, one_task: int = 200_000) -> DataFrame:
-    """id, community (named by its smallest id). Up to `one_task` edges run in one task; more by rounds of joins in which half of the
-    vertices may move, then contraction."""
-    if edges.limit(one_task + 1).count() <= one_task:
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            home = local_louvain([(str(a), str(b), float(w)) for a, b, w in zip(frame["a"], frame["b"], frame["w"], strict=True) if a != b])
-            names: dict[str, str] = {}
-            for v in sorted(home):
-                names.setdefault(home[v], v)
-            return pd.DataFrame({"id": list(home), "community": [names[c] for c in home.values()]})
-
-        small = edges.select(F.lit(1).alias("g"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col(weight).cast("double").alias("w"))
-        return small.groupBy("g").applyInPandas(run, "id string, community string")
+def louvain(edges: DataFrame, weight: str, rounds: int = 200, levels: int = 50) -> DataFrame:
+    """id, community (named by its smallest id), by rounds of joins and contraction, whatever the size.
+
+    In a round a share of the vertices may move, each to the neighbouring community of the largest gain; the share shrinks from a half as
+    rounds go by, so that neighbours seldom move at once. A level ends when a whole cycle of shares moves nothing; rounds or levels that run out are an error."""
     e = edges.filter(F.col("src") != F.col("dst")).select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col(weight).cast("double").alias("w"))
     e = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     e = checkpointed(e)
@@ -193,7 +164,7 @@ def louvain(edges: DataFrame, weight: str, rounds: int = 12, levels: int = 5, on
     for _ in range(levels):
         strength = e.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).join(loops, "id", "full").select("id", (F.coalesce("k", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))).alias("k"))
         state = checkpointed(strength.withColumn("c", F.col("id")))
-        moved_any = False
+        moved_any, still, parts, part = False, 0, 2, 0
         for r in range(rounds):
             totals = state.groupBy("c").agg(F.sum("k").alias("t"))
             links = e.join(state.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("id"), "to").agg(F.sum("w").alias("in"))
@@ -202,13 +173,19 @@ def louvain(edges: DataFrame, weight: str, rounds: int = 12, levels: int = 5, on
             rest = F.col("t") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
             gain = F.col("in") - F.col("k") * rest / F.lit(whole)
             best = options.withColumn("g", gain).groupBy("id").agg(F.max(F.struct(F.round("g", 9).alias("g"), (F.col("to") == F.col("c")).alias("stay"), "to")).alias("m"), F.first("c").alias("c"), F.first("k").alias("k"))
-            turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
+            turn = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)) == part
             new = checkpointed(best.select("id", "k", F.when(turn, F.col("m.to")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was")))
             moves = new.filter("c <> was").count()
             state = new.select("id", "k", "c")
             moved_any |= moves > 0
-            if moves == 0 and r % 2:
+            still = 0 if moves else still + 1
+            if still > parts:
                 break
+            part += 1
+            if part >= parts:
+                part, parts = 0, parts + 1 if r > 8 and still == 0 else parts
+        else:
+            raise RuntimeError(f"louvain: not settled after {rounds} rounds")
         final = checkpointed(final.join(state.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
         if not moved_any:
             break
@@ -219,6 +196,8 @@ def louvain(edges: DataFrame, weight: str, rounds: int = 12, levels: int = 5, on
         e = checkpointed(merged.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"))
         if e.isEmpty():
             break
+    else:
+        raise RuntimeError(f"louvain: not settled after {levels} levels")
     least = final.groupBy("community").agg(F.min("id").alias("name"))
     return final.join(least, "community").select("id", F.col("name").alias("community"))
 
@@ -234,23 +213,63 @@ def modularity(edges: DataFrame, communities: DataFrame, weight: str) -> float:
     return inside / total - squares / total**2
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 500) -> DataFrame:
+    """(id, rank) of the unweighted walk, summing to 1; vertices without edges out give their rank to all. Rounds go on until ranks change by
+    less than `tolerance` in all, which `rounds` of them must reach."""
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     n = ids.count()
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     links = checkpointed(edges.join(out, "src").select("src", "dst", "deg"))
-    rank = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for r in range(rounds):
-        got = links.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        lost = rank.join(out, F.col("id") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = ids.join(got, ids["id"] == got["dst"], "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if r % 5 == 4:
-            rank = checkpointed(rank)
-    return rank
-
-
-def weak_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component (smallest id reachable)."""
+    rank = checkpointed(ids.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    for _ in range(-(-rounds // 5)):
+        old = rank
+        for _ in range(5):
+            before = rank
+            got = links.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+            lost = rank.join(out, F.col("id") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            rank = ids.join(got, ids["id"] == got["dst"], "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        rank = checkpointed(rank)
+        change = rank.join(old.select("id", F.col("rank").alias("_o")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("_o")))).first()[0]
+        if not change or change < tolerance:
+            return rank
+    raise RuntimeError(f"pagerank: not settled after {rounds} rounds")
+
+
+def strong_components(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """id, component (smallest id of those that reach it and that it reaches).
+
+    Labels of the smallest id flow along edges until they settle; from each label's own vertex, what reaches it backwards inside the label is
+    a component; the rest goes on."""
+    e = checkpointed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct())
+    left = checkpointed(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    done = None
+    for _ in range(rounds):
+        label = left.select("id", F.col("id").alias("c"))
+        for _ in range(rounds):
+            new = label.unionAll(e.join(label, F.col("a") == F.col("id")).select(F.col("b").alias("id"), "c")).groupBy("id").agg(F.min("c").alias("c"))
+            new = checkpointed(new)
+            same = new.join(label, ["id", "c"], "left_anti").isEmpty()
+            label = new
+            if same:
+                break
+        else:
+            raise RuntimeError(f"strong_components: not settled after {rounds} rounds")
+        inside = checkpointed(e.join(label.select(F.col("id").alias("a"), F.col("c").alias("c")), "a").join(label.select(F.col("id").alias("b"), F.col("c").alias("c2")), "b").filter("c = c2").select("a", "b", "c"))
+        found = front = checkpointed(label.filter("id = c"))
+        while not front.isEmpty():
+            front = checkpointed(inside.join(front.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), "c").distinct().join(found, "id", "left_anti"))
+            found = checkpointed(found.unionAll(front))
+        part = found.select("id", F.col("c").alias("component"))
+        done = part if done is None else done.unionAll(part)
+        left = checkpointed(left.join(found, "id", "left_anti"))
+        if left.isEmpty():
+            return done
+        e = checkpointed(e.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi"))
+    raise RuntimeError(f"strong_components: not settled after {rounds} rounds")
+
+
+def weak_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """id, component (smallest id reachable); labels that still change after `rounds` are an error."""
     both = checkpointed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     label = checkpointed(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
     for _ in range(rounds):
@@ -259,6 +278,6 @@ def weak_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         jump = new.select(F.col("id").alias("new"), F.col("new").alias("far"))
         new = checkpointed(new.join(jump, "new", "left").select("id", "component", F.least("new", F.coalesce("far", "new")).alias("new")))
         if new.filter("component <> new").isEmpty():
-            break
+            return label
         label = new.select("id", F.col("new").alias("component"))
-    return label
+    raise RuntimeError(f"weak_components: not settled after {rounds} rounds")

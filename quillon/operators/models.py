@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile, chi2_sf, fisher_exact, normal_cdf, skew_test, t_two_sided
@@ -14,22 +14,36 @@ from .windows import over
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and sums of products (not centred) in one aggregation."""
+    """Rows, means and sums of products of deviations from the means, in two aggregations: means first, so that large means don't cancel."""
     base = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
     p = len(columns)
-    row = base.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)), *(F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"x{i}_{j}") for i in range(p) for j in range(i, p))).first()
-    n = row["n"]
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
+    row = base.agg(F.count("*"), *(F.avg(c) for c in columns)).first()
+    n, near = row[0], np.array([v or 0.0 for v in row[1:]])
+    d = [F.col(c) - float(m) for c, m in zip(columns, near, strict=True)]
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    row = base.agg(*(F.sum(x) for x in d), *(F.sum(d[i] * d[j]) for i, j in upper)).first()
+    off = np.array([v or 0.0 for v in row[:p]])
     x = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            x[i, j] = x[j, i] = row[f"x{i}_{j}"] or 0.0
-    return n, s / max(n, 1), x
+    for (i, j), v in zip(upper, row[p:], strict=True):
+        x[i, j] = x[j, i] = v or 0.0
+    return n, near + off / max(n, 1), x - np.outer(off, off) / max(n, 1)
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     n, mean, x = moments(df, columns)
-    return mean, x / max(n, 1) - np.outer(mean, mean)
+    return mean, x / max(n, 1)
+
+
+def pca_scores(df: DataFrame, columns: Sequence[str], dims: int = 2) -> DataFrame:
+    """All columns of df with pc1, pc2, ...: coordinates of scaled rows on the largest components. A component's largest loading is positive."""
+    mean, cov = covariance(df, columns)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+    out = df
+    for k, i in enumerate(np.argsort(values)[::-1][:dims]):
+        v = vectors[:, i] * np.sign(vectors[np.argmax(np.abs(np.round(vectors[:, i], 9))), i])
+        out = out.withColumn(f"pc{k + 1}", sum(((F.col(c).cast("double") - float(m)) * float(w / s) for c, m, w, s in zip(columns, mean, v, sd, strict=True)), F.lit(0.0)))
+    return out
 
 
 def pca(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -103,17 +117,23 @@ def robust_covariance(df: DataFrame, columns: Sequence[str], rounds: int = 30) -
     return mean, cov
 
 
+def solved(n: int, mean: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients (intercept first), their standard errors and the sum of squared residuals, from moments whose last column is the target."""
+    p = len(mean) - 1
+    scale = np.sqrt(np.maximum(np.diag(x)[:p], 1e-300))
+    inv = np.linalg.pinv(x[:p, :p] / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
+    slope = inv @ x[:p, p]
+    rss = max(float(x[p, p] - slope @ x[:p, p]), 0.0)
+    var = rss / max(n - p - 1, 1)
+    first = var * (1 / max(n, 1) + mean[:p] @ inv @ mean[:p])
+    return np.append(mean[p] - slope @ mean[:p], slope), np.sqrt(np.maximum(np.append(first, var * np.diag(inv)), 0)), rss
+
+
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coefficients (intercept first), their standard errors, and rows; normal equations from one aggregation."""
+    """Coefficients (intercept first), their standard errors, and rows; normal equations from aggregated moments."""
     n, mean, x = moments(df, [*features, target])
-    p = len(features)
-    a = np.zeros((p + 1, p + 1))
-    a[0, 0], a[0, 1:], a[1:, 0], a[1:, 1:] = n, mean[:p] * n, mean[:p] * n, x[:p, :p]
-    b = np.concatenate([[mean[p] * n], x[:p, p]])
-    inv = np.linalg.pinv(a)
-    beta = inv @ b
-    rss = max(x[p, p] - beta @ b, 0.0)
-    return beta, np.sqrt(np.maximum(np.diag(inv), 0) * rss / max(n - p - 1, 1)), n
+    beta, se, _ = solved(n, mean, x)
+    return beta, se, n
 
 
 def predict(df: DataFrame, features: Sequence[str], beta: np.ndarray, name: str = "prediction") -> DataFrame:
@@ -138,6 +158,11 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     return out.select("label", "support", precision.alias("precision"), recall.alias("recall"), F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1"))
 
 
+def balanced_accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Mean recall over the labels that occur."""
+    return class_report(df, y, p).filter("support > 0").agg(F.avg("recall").alias("balanced_accuracy"))
+
+
 def logistic(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Multinomial logistic regression with balanced class weights; adds prediction."""
     from pyspark.ml.classification import LogisticRegression
@@ -174,11 +199,40 @@ def lagged(df: DataFrame, x: str, order: str, lags: int) -> DataFrame:
     return out.select("t", "y", *(F.lag("y", k).over(over("t")).alias(f"l{k}") for k in range(1, lags + 1)))
 
 
+def ar_fit(df: DataFrame, x: str, order: str, lags: int) -> tuple[np.ndarray, list[float]]:
+    """Coefficients of an autoregression (intercept first), and the last `lags` values, newest first.
+
+    A sum of products of two lags depends on their difference but for the first and last steps: one join of the numbered series with itself
+    by difference gives all sums, and the ends, at most 2 * lags values, are put right at the driver."""
+    base = df.select(F.col(order).alias("t"), F.col(x).cast("double").alias("y")).filter("y is not null")
+    shift = float(base.agg(F.avg("y")).first()[0] or 0.0)
+    s = base.select((F.row_number().over(over("t"))).alias("i"), (F.col("y") - shift).alias("d"))
+    later = s.select(F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("h"), F.col("d").alias("e"), F.col("i").alias("j")).withColumn("i", F.col("j") + F.col("h"))
+    sums = {r["h"]: r["s"] for r in s.join(later, "i").groupBy("h").agg(F.sum(F.col("d") * F.col("e")).alias("s")).collect()}
+    whole = s.agg(F.count("*").alias("n"), F.sum("d").alias("s")).first()
+    n, p = whole["n"], lags
+    head = np.array([r["d"] for r in s.filter(F.col("i") <= p).orderBy("i").collect()])
+    tail = np.array([r["d"] for r in s.filter(F.col("i") > n - p).orderBy("i").collect()])
+    if n <= 2 * p + 1:
+        raise ValueError(f"{n} steps are too few for {p} lags")
+    m = n - p
+    # total[k]: sum over the fitted steps of the value k steps before
+    total = np.array([whole["s"] - head[: p - k].sum() - tail[p - k :].sum() for k in range(p + 1)])
+    cross = np.zeros((p + 1, p + 1))
+    for h in range(p + 1):
+        first = np.concatenate([[0.0], np.cumsum(head[h:] * head[: p - h])])  # products that end by step h + 1, h + 2, ...
+        last = np.concatenate([[0.0], np.cumsum((tail[h:] * tail[: p - h])[::-1])])
+        for k in range(p + 1 - h):  # lags k and k + h
+            cross[k, k + h] = cross[k + h, k] = sums.get(h, 0.0) - first[p - k - h] - last[min(k, p - h)]
+    at = [*range(1, p + 1), 0]  # features, then the target
+    mean = total[at] / m
+    beta, _, _ = solved(m, mean + shift, cross[np.ix_(at, at)] - m * np.outer(mean, mean))
+    return beta, [float(v) + shift for v in tail[::-1]]
+
+
 def ar_forecast(df: DataFrame, x: str, order: str, lags: int, steps: int) -> DataFrame:
     """(step, forecast) of an autoregression with intercept."""
-    names = [f"l{k}" for k in range(1, lags + 1)]
-    beta, _, _ = least_squares(lagged(df, x, order, lags), names, "y")
-    last = [float(r["y"]) for r in df.select(F.col(order).alias("t"), F.col(x).alias("y")).orderBy(F.col("t").desc()).limit(lags).collect()]
+    beta, last = ar_fit(df, x, order, lags)
     out = []
     for s in range(steps):
         y = float(beta[0] + beta[1:] @ np.array(last[:lags]))
@@ -187,16 +241,56 @@ def ar_forecast(df: DataFrame, x: str, order: str, lags: int, steps: int) -> Dat
     return df.sparkSession.createDataFrame(out, "step int, forecast double")
 
 
-def adf(df: DataFrame, x: str, order: str, lags: int) -> DataFrame:
-    """Dickey-Fuller statistic with a constant and `lags` lagged differences, and the asymptotic 1, 5 and 10 % values."""
-    base = df.select(F.col(order).alias("t"), F.col(x).cast("double").alias("y"))
+def ar_order(df: DataFrame, x: str, order: str, most: int, period: int = 1) -> DataFrame:
+    """(lags, bic, chosen) for 0 to `most` lags on the same steps; with a period, each step of it has its own intercept (lags and series
+    are taken from their means by step of the period, which gives the same fit as indicators)."""
+    names = [*(f"l{k}" for k in range(1, most + 1)), "y"]
+    rows = lagged(df, x, order, most).withColumn("_s", (F.row_number().over(over("t")) - 1) % period).dropna()
+    w = Window.partitionBy("_s")
+    rows = rows.select(*((F.col(c) - F.avg(c).over(w)).alias(c) for c in names))
+    n, mean, cross = moments(rows, names)
+    out = []
+    for k in range(most + 1):
+        at = [*range(k), most]
+        rss = solved(n, mean[at], cross[np.ix_(at, at)])[2]
+        out.append((k, n * (math.log(2 * math.pi * rss / n) + 1) + (k + period + 1) * math.log(n)))
+    best = min(range(most + 1), key=lambda k: out[k][1])
+    return df.sparkSession.createDataFrame([(k, b, k == best) for k, b in out], "lags int, bic double, chosen boolean")
+
+
+def adf_p(stat: float) -> float:
+    """Approximate p of the Dickey-Fuller statistic with a constant."""
+    # Response surface of the test's distribution.
+    if stat > 2.74:
+        return 1.0
+    if stat < -18.83:
+        return 0.0
+    small, large = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+    return normal_cdf(sum(c * stat**k for k, c in enumerate(small if stat <= -1.61 else large)))
+
+
+def adf(df: DataFrame, x: str, order: str, lags: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant: stat, p, lags, n and 1, 5 and 10 % values. Without `lags`, the number of lagged differences up to
+    12 * (n / 100)^(1/4) of the least AIC on the same steps is taken."""
+    base = df.select(F.col(order).alias("t"), F.col(x).cast("double").alias("y")).filter("y is not null")
     w = over("t")
     base = base.withColumn("before", F.lag("y").over(w)).withColumn("dy", F.col("y") - F.col("before"))
-    base = base.select("t", "before", "dy", *(F.lag("dy", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)))
+    count = base.count()
+    most = min(math.ceil(12 * (count / 100) ** 0.25), count // 2 - 2) if lags is None else lags
+    base = base.select("t", "before", "dy", *(F.lag("dy", k).over(w).alias(f"d{k}") for k in range(1, most + 1)))
+    if lags is None:
+        n, mean, cross = moments(base, ["before", *(f"d{k}" for k in range(1, most + 1)), "dy"])
+        fits = []
+        for k in range(most + 1):
+            at = [*range(k + 1), most + 1]
+            fits.append(n * math.log(max(solved(n, mean[at], cross[np.ix_(at, at)])[2], 1e-300) / n) + 2 * (k + 2))
+        lags = int(np.argmin(fits))
     beta, se, n = least_squares(base, ["before", *(f"d{k}" for k in range(1, lags + 1))], "dy")
-    # Asymptotic critical values of the test with a constant.
-    critical = {"crit_1": -3.43035, "crit_5": -2.86154, "crit_10": -2.56677}
-    return df.sparkSession.createDataFrame([(float(beta[1] / se[1]), n, *critical.values())], "stat double, n long, " + ", ".join(f"{c} double" for c in critical))
+    stat = float(beta[1] / se[1])
+    # Critical values of the test with a constant, as polynomials of 1 / n.
+    critical = ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))
+    values = [sum(c / n**k for k, c in enumerate(row)) for row in critical]
+    return df.sparkSession.createDataFrame([(stat, adf_p(stat), lags, n, *values)], "stat double, p double, lags int, n long, crit_1 double, crit_5 double, crit_10 double")
 
 
 def pacf(r: Sequence[float]) -> list[float]:

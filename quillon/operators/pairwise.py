@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
 from .sampling import shuffled
+from .stats import null_report
 
 
 def bounded(df: DataFrame, key: str, most: int = 5000, seed: int = 1) -> DataFrame:
@@ -49,14 +50,78 @@ def iqr_flags(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
     return df.crossJoin(F.broadcast(row)).withColumn("outlier", flag).drop(*row.columns)
 
 
-def limit_score(df: DataFrame, limits: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Number of columns outside their limits, scaled to [0, 1] over the table."""
-    hits = sum((F.coalesce(~F.col(c).between(a, b), F.lit(False)).cast("int") for c, (a, b) in limits.items()), F.lit(0))
-    out = df.withColumn("_h", hits)
+def percentile_limits(df: DataFrame, columns: Sequence[str], lower: float = 0.25, upper: float = 0.75) -> dict[str, tuple[float, float]]:
+    row = df.agg(*(F.percentile(c, F.array(F.lit(lower), F.lit(upper))).alias(c) for c in columns)).first()
+    return {c: (row[c][0], row[c][1]) for c in columns if row[c] is not None}
+
+
+def balanced(df: DataFrame, columns: Sequence[str], rounds: int = 100, tolerance: float = 1e-7) -> DataFrame:
+    """Columns scaled by rows and columns in turn (rows to a sum of 1, then columns) until both hold within the tolerance or for `rounds`
+    rounds. A row's factor is an expression of its own cells, so a round is one aggregation of column sums; values are at least 1e-12."""
+    cells = [F.greatest(F.col(c).cast("double"), F.lit(1e-12)) for c in columns]
+    weights = [1.0] * len(columns)
+    for _ in range(rounds):
+        scaled = [x * F.lit(w) for x, w in zip(cells, weights, strict=True)]
+        total = sum(scaled[1:], scaled[0])
+        row = df.agg(*(F.sum(x / total) for x in scaled)).first()
+        sums = [v or 1.0 for v in row]
+        off = max(abs(v - 1.0) for v in sums)
+        weights = [w / v for w, v in zip(weights, sums, strict=True)]
+        if off <= tolerance:
+            break
+    shown = [x * F.lit(w) for x, w in zip(cells, weights, strict=True)]
+    parts = [x * F.lit(w * v) for x, w, v in zip(cells, weights, sums, strict=True)]  # the row sums come before the last scaling of columns
+    total = sum(parts[1:], parts[0])
+    return df.withColumns({c: x / total for c, x in zip(columns, shown, strict=True)})
+
+
+def limit_score(df: DataFrame, limits: Mapping[str, tuple[float, float]], method: str = "count") -> DataFrame:
+    """Number of columns outside their limits, scaled to [0, 1] over the table. Methods: count; percentile (limits are pairs of shares, taken as
+    quantiles of the column); sinkhorn (flags balanced over rows and columns before they are summed)."""
+    if method not in ("count", "percentile", "sinkhorn"):
+        raise ValueError(f"unknown method {method}")
+    if method == "percentile":
+        limits = {c: percentile_limits(df, [c], *pair)[c] for c, pair in limits.items()}
+    flags = {f"_o_{c}": F.coalesce(~F.col(c).between(a, b), F.lit(False)).cast("double") for c, (a, b) in limits.items()}
+    out = df.withColumns(flags)
+    if method == "sinkhorn":
+        out = balanced(out, list(flags))
+    out = out.withColumn("_h", sum((F.col(c) for c in flags), F.lit(0.0))).drop(*flags)
     row = out.agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
     return out.crossJoin(F.broadcast(row)).withColumn("score", F.when(F.col("_hi") > F.col("_lo"), (F.col("_h") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))).drop("_h", "_lo", "_hi")
 
 
+def share_flags(scores: DataFrame, score: str, share: float, largest: bool) -> DataFrame:
+    """outlier: scores up to the quantile `share`, or above the quantile 1 - share."""
+    row = scores.agg(F.percentile(score, F.lit(1 - share if largest else share)).alias("_cut"))
+    flag = F.col(score) > F.col("_cut") if largest else F.col(score) <= F.col("_cut")
+    return scores.crossJoin(F.broadcast(row)).withColumn("outlier", flag).drop("_cut")
+
+
+def outliers(df: DataFrame, key: str, columns: Sequence[str], method: str = "zscore", value_1: float | None = None, value_2: float | None = None) -> DataFrame:
+    """(key, outlier) by one of: zscore (limit 3), iqr (factor 1.5), mahalanobis (quantile 0.95, robust), kde (bandwidth 1, lowest 2 % of densities),
+    dbscan (eps 0.8, 10 rows), lof (20 neighbours, highest 2 %). The two values replace these settings in that order."""
+    pick = lambda v, default: default if v is None else v
+    v = vector(columns)
+    if method == "zscore":
+        out = zscore_flags(df, columns, pick(value_1, 3.0))
+    elif method == "iqr":
+        out = iqr_flags(df, columns, pick(value_1, 1.5))
+    elif method == "mahalanobis":
+        from .models import mahalanobis
+
+        out = mahalanobis(df, columns, pick(value_1, 0.95), robust=True)
+    elif method == "kde":
+        out = share_flags(kde_scores(df, key, v, pick(value_1, 1.0)), "log_density", pick(value_2, 0.02), False)
+    elif method == "dbscan":
+        out = dbscan_noise(df, key, v, pick(value_1, 0.8), int(pick(value_2, 10))).withColumnRenamed("noise", "outlier")
+    elif method == "lof":
+        out = share_flags(lof(df, key, v, int(pick(value_1, 20))), "lof", pick(value_2, 0.02), True)
+    else:
+        raise ValueError(f"unknown method {method}: zscore, iqr, mahalanobis, kde, dbscan or lof")
+    return out.select(key, "outlier")
+
+
 def kde_scores(df: DataFrame, key: str, v: Column, h: float = 1.0) -> DataFrame:
     """(key, log density up to a constant), self included."""
     return pairs(df, key, v).groupBy(F.col("i").alias(key)).agg(F.ln(F.sum(F.exp(-F.col("d2") / (2 * h * h))) + 1.0).alias("log_density"))
@@ -81,18 +146,22 @@ def lof(df: DataFrame, key: str, v: Column, k: int = 20) -> DataFrame:
 
 def dissimilarity(df: DataFrame, key: str, kinds: Mapping[str, str]) -> DataFrame:
     """(i, j, d): mean over the columns where both rows count. Kinds: NO and SB nominal and symmetric binary, NU numeric distance,
-    AB asymmetric binary (both false isn't counted)."""
+    AB asymmetric binary (both false isn't counted), TX cosine distance of tf-idf."""
+    texts = [c for c, kind in kinds.items() if kind == "TX"]
     a = df.select(F.col(key).alias("i"), *(F.col(c).alias(f"a_{c}") for c in kinds))
     b = df.select(F.col(key).alias("j"), *(F.col(c).alias(f"b_{c}") for c in kinds))
     total, n = F.lit(0.0), F.lit(0)
     for c, kind in kinds.items():
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
-        d = F.abs(x - y).cast("double") if kind == "NU" else (x != y).cast("double")
+        d = F.abs(x - y).cast("double") if kind == "NU" else F.coalesce(f"_d_{c}", F.lit(1.0)) if kind == "TX" else (x != y).cast("double")
         on = x.isNotNull() & y.isNotNull()
         if kind == "AB":
             on = on & (x | y)
         total, n = total + F.when(on, d).otherwise(0.0), n + F.when(on, 1).otherwise(0)
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.when(n > 0, total / n).alias("d"))
+    both = a.join(b, F.col("i") < F.col("j"))
+    for c in texts:
+        both = both.join(tfidf_cosine(df, key, c).withColumnRenamed("d", f"_d_{c}"), ["i", "j"], "left")
+    return both.select("i", "j", F.when(n > 0, total / n).alias("d"))
 
 
 def tfidf_cosine(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -121,6 +190,20 @@ def knn_impute(df: DataFrame, key: str, columns: Sequence[str], target: str, k:
     return df.join(filled, key, "left").select(key, F.coalesce(F.col(target).cast("double"), "_f").alias(target))
 
 
+def merge_report(df: DataFrame, imputed: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Missing cells from the imputed table, and (col, before, after) of missing cells. Numeric columns take any value, text columns only values that
+    the column has; columns of other types stay as they are and aren't reported."""
+    kinds = dict(df.dtypes)
+    numbers = [c for c in columns if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal")]
+    labels = [c for c in columns if kinds[c] == "string"]
+    for c in labels:
+        known = df.select(F.col(c).alias(f"_k_{c}")).filter(f"`_k_{c}` is not null").distinct()
+        imputed = imputed.join(known, F.col(c) == F.col(f"_k_{c}"), "left").withColumn(c, F.col(f"_k_{c}")).drop(f"_k_{c}")
+    out = merge_imputed(df, imputed.select(key, *(F.col(c).cast(kinds[c]).alias(c) for c in numbers + labels)), key, numbers + labels).select(*df.columns)
+    count = lambda t, name: null_report(t, numbers + labels).withColumnRenamed("missing", name)
+    return out, count(df, "before").join(count(out, "after"), "col")
+
+
 def merge_imputed(df: DataFrame, imputed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Missing cells from the imputed table; others stay."""
     other = imputed.select(key, *(F.col(c).alias(f"_i_{c}") for c in columns))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from .graph import checkpointed
 
 KINDS: dict[str, Callable[[Column], Column]] = {"code": C.code, "string": C.text, "numeric": C.numeric, "boolean": C.boolean}
 
@@ -100,6 +101,124 @@ def epoch_unit(c: Column) -> Column:
 def surrogate_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Gapless ids from 1 in a total order: range partitions are numbered and offset, so no task holds all rows."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = checkpointed(parts)  # counts and rows must come from the same partitions
     first = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     first = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.join(F.broadcast(first.drop("_n")), "_p").withColumn(name, F.col("_before") + F.col("_m") - F.col("_m0") + 1).drop("_p", "_m", "_m0", "_before")
+
+
+def numeric_view(df: DataFrame, normalize: bool = False) -> DataFrame:
+    """Every column as numbers: numbers as they are, booleans 0 and 1, texts parsed where any value of the column is a number and hashed to 64
+    bits otherwise; standardised over the table if asked."""
+    kinds = dict(df.dtypes)
+    texts = [c for c in df.columns if kinds[c] == "string"]
+    parsed = df.agg(*(F.count(F.expr(f"try_cast(`{c}` AS double)")).alias(c) for c in texts)).first() if texts else {}
+
+    def one(c: str) -> Column:
+        if c in texts:
+            return F.expr(f"try_cast(`{c}` AS double)") if parsed[c] else C.sha_int64(F.col(f"`{c}`"))
+        if kinds[c].startswith(("timestamp", "date")):
+            return F.unix_micros(F.col(f"`{c}`").cast("timestamp"))
+        return F.col(f"`{c}`").cast("double") if kinds[c] == "boolean" else F.col(f"`{c}`")
+
+    out = df.select(*(one(c).alias(c) for c in df.columns))
+    if normalize:
+        from .stats import scaled
+
+        out = scaled(out.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in out.columns)), out.columns)
+    return out
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """How a column became numbers: kind (passthrough, boolean, micros, codes, dummy, onehot, parsed, hash), the old type, and sorted categories."""
+
+    kind: str
+    type: str
+    values: tuple[str, ...] = ()
+
+
+def encode_frame(df: DataFrame, categories: Sequence[str] = (), how: str = "codes", most: int = 10_000) -> tuple[DataFrame, dict[str, Encoding]]:
+    """df as numbers with what undoes it. Columns named in `categories` become sorted codes (null: -1), or indicators `column__value` of all values
+    (onehot) or all but the first (dummy); at most `most` values, as they are part of the plan. Timestamps become microseconds."""
+    if how not in ("codes", "dummy", "onehot"):
+        raise ValueError(f"unknown encoding {how}")
+    kinds, plan, cells = dict(df.dtypes), {}, []
+    plain = [c for c in df.columns if kinds[c] == "string" and c not in categories]
+    parsed = df.agg(*(F.count(F.expr(f"try_cast(`{c}` AS double)")).alias(c) for c in plain)).first() if plain else {}
+    for c in df.columns:
+        x, kind = F.col(f"`{c}`"), kinds[c]
+        if c in categories:
+            values = tuple(sorted(r[0] for r in df.select(x.cast("string")).dropna().distinct().limit(most + 1).collect()))
+            if len(values) > most:
+                raise ValueError(f"{c} has over {most} values")
+            plan[c] = Encoding(how, kind, values)
+            if how == "codes":
+                codes = F.lit(-1.0)
+                if values:
+                    codes = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for k, s in enumerate(values) for v in (s, float(k)))), x.cast("string")), codes)
+                cells.append(codes.alias(c))
+            else:
+                cells += [F.coalesce((x.cast("string") == v).cast("double"), F.lit(0.0)).alias(f"{c}__{v}") for v in values[how == "dummy" :]]
+        elif kind == "boolean":
+            plan[c] = Encoding("boolean", kind)
+            cells.append(x.cast("double").alias(c))
+        elif kind.startswith(("timestamp", "date")):
+            plan[c] = Encoding("micros", kind)
+            cells.append(F.unix_micros(x.cast("timestamp")).cast("double").alias(c))
+        elif kind == "string":
+            plan[c] = Encoding("parsed" if parsed[c] else "hash", kind)
+            cells.append((F.expr(f"try_cast(`{c}` AS double)") if parsed[c] else C.sha_int64(x)).alias(c))
+        else:
+            plan[c] = Encoding("passthrough", kind)
+            cells.append(x)
+    return df.select(*cells), plan
+
+
+def decode_frame(df: DataFrame, plan: dict[str, Encoding]) -> DataFrame:
+    """Undo encode_frame, also after arithmetic: codes and integers are rounded, booleans are cells of 0.5 or more, the largest indicator wins (none
+    above 0: the dropped value of `dummy`, else null). Columns that are no longer there become null; hashes stay numbers."""
+
+    def one(c: str, e: Encoding) -> Column:
+        if e.kind in ("dummy", "onehot"):
+            shown = [(v, F.coalesce(F.col(f"`{c}__{v}`").cast("double"), F.lit(0.0))) for v in e.values if f"{c}__{v}" in df.columns]
+            out = F.lit(e.values[0] if e.kind == "dummy" and e.values else None).cast("string")
+            if shown:
+                top = F.greatest(*(x for _, x in shown), F.lit(0.0))
+                for v, x in reversed(shown):
+                    out = F.when((x == top) & (top > 0), F.lit(v)).otherwise(out)
+            return out.cast(e.type)
+        if c not in df.columns:
+            return F.lit(None).cast("double" if e.kind in ("parsed", "hash") else e.type)
+        x = F.col(f"`{c}`")
+        if e.kind == "codes":
+            k = F.rint(x.cast("double")).cast("int")
+            return F.when((k >= 0) & (k < len(e.values)), F.element_at(F.array(*map(F.lit, e.values or ("",))), k + 1)).cast(e.type)
+        if e.kind == "boolean":
+            return x.cast("double") >= 0.5
+        if e.kind == "micros":
+            return F.timestamp_micros(F.rint(x).cast("long")).cast(e.type)
+        if e.kind == "passthrough" and e.type in ("tinyint", "smallint", "int", "bigint"):
+            return F.rint(x.cast("double")).cast(e.type) if dict(df.dtypes)[c] in ("double", "float") else x.cast(e.type)
+        return x if e.kind in ("parsed", "hash") else x.cast(e.type)
+
+    return df.select(*(one(c, e).alias(c) for c, e in plan.items()))
+
+
+def null_mask(df: DataFrame) -> DataFrame:
+    """Whether each cell is null, for the columns that have any null."""
+    counts = df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns)).first()
+    return df.select(*(F.col(f"`{c}`").isNull().alias(c) for c in df.columns if counts[c]))
+
+
+def preview(df: DataFrame) -> DataFrame:
+    """(position, col, type, filled) of every column; filled: rows that aren't null."""
+    counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"_{k}") for k, c in enumerate(df.columns)))
+    cells = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(c).alias("col"), F.lit(kind).alias("type"), F.col(f"_{k}").alias("filled")) for k, (c, kind) in enumerate(df.dtypes)))
+    return counts.select(F.explode(cells).alias("e")).select("e.*")
+
+
+def upsert(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """One row for each key: the last in `order`, as merging row by row leaves it."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")

@@ -86,6 +86,14 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return x.select(k.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def histogram_pair(a: DataFrame, b: DataFrame, column: str, bins: int) -> DataFrame:
+    """(bin, a, b): counts of two tables over the same equal bins of their common range, the last one closed."""
+    both = a.select(F.col(column).cast("double").alias("x"), F.lit(1).alias("a")).unionAll(b.select(F.col(column).cast("double").alias("x"), F.lit(0).alias("a"))).filter("x is not null")
+    x = both.crossJoin(F.broadcast(both.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))))  # one row
+    k = F.least(F.floor((F.col("x") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1)).cast("int")
+    return x.groupBy(k.alias("bin")).agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
+
+
 def scaled(df: DataFrame, columns: Sequence[str], how: str = "standard") -> DataFrame:
     """Columns by population standard deviation, min-max, or median and interquartile range; constants become 0."""
     aggs = []

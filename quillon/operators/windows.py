@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import chi2_sf
+
 
 def over(order: str, by: Sequence[str] = ()):
     return Window.partitionBy(*(by or [F.lit(1)])).orderBy(order)
@@ -78,3 +80,22 @@ def ljung_box(df: DataFrame, x: str, order: str, lags: int) -> DataFrame:
     r = acf(df, x, order, lags).filter("lag > 0").crossJoin(F.broadcast(n))
     term = F.col("r") * F.col("r") / (F.col("n") - F.col("lag"))
     return r.select("lag", (F.col("n") * (F.col("n") + 2) * F.sum(term).over(over("lag").rowsBetween(Window.unboundedPreceding, 0))).alias("q"))
+
+
+def ljung_box_test(df: DataFrame, x: str, order: str, lags: int) -> DataFrame:
+    """(lag, q, p); one row a lag at the driver."""
+    rows = [(r["lag"], r["q"], chi2_sf(r["q"], r["lag"])) for r in ljung_box(df, x, order, lags).orderBy("lag").collect()]
+    return df.sparkSession.createDataFrame(rows, "lag int, q double, p double")
+
+
+def denoised(df: DataFrame, x: str, order: str, period: int, trend: bool = False) -> DataFrame:
+    """The series without its seasonal part (and without trend if asked), from a trailing decomposition that knows nothing of the future, in
+    column `denoised`; `noise` is what was taken away, so a forecast gets it back by date."""
+    out = decompose(df, x, order, period, centred=False)
+    noise = F.col("seasonal") + F.col("trend") if trend else F.col("seasonal")
+    return out.withColumn("noise", noise).withColumn("denoised", F.col(x) - F.col("noise")).drop("trend", "seasonal", "resid")
+
+
+def with_noise(forecast: DataFrame, noise: DataFrame, order: str, name: str = "forecast") -> DataFrame:
+    """A forecast with the noise of the same steps added."""
+    return forecast.join(noise.select(order, F.col("noise").alias("_noise")), order, "left").withColumn(name, F.col(name) + F.coalesce("_noise", F.lit(0.0))).drop("_noise")

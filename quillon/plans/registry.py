@@ -17,7 +17,7 @@ from ..operators import schema as S
 from ..operators import stats as ST
 from ..operators import windows as W
 from . import bench
-from .trips import DAILY, EDGES, TRIPS, daily, edges, t, trips
+from .trips import DAILY, EDGES, SPARSE, TRIPS, daily, edges, sparse, t, trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -380,10 +380,10 @@ def series_split(spark, d):
     return W.split_series(daily(spark, d), "t", 180).select("t", "part")
 
 
-@query(f"""WITH {DAILY}, s AS (SELECT row_number() OVER (ORDER BY t) AS i, x - (SELECT avg(x) FROM daily) AS d FROM daily), h AS (SELECT unnest(range(41)) AS lag)
+@query(f"""WITH {DAILY}, s AS (SELECT row_number() OVER (ORDER BY t) AS i, x - (SELECT avg(x) FROM daily) AS d FROM daily), h AS (SELECT unnest(range(901)) AS lag)
 SELECT CAST(lag AS INT) AS lag, round(sum(a.d * b.d) / (SELECT sum(d * d) FROM s), 6) AS r FROM h JOIN s a ON true JOIN s b ON b.i = a.i - lag GROUP BY lag""")
 def acf(spark, d):
-    return rounded(W.acf(daily(spark, d), "x", "t", 40))
+    return rounded(W.acf(daily(spark, d), "x", "t", 900))
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT row_number() OVER (ORDER BY t) AS i, x - (SELECT avg(x) FROM daily) AS d FROM daily), h AS (SELECT unnest(range(1, 11)) AS lag), n AS (SELECT count(*) AS n FROM daily),
@@ -392,14 +392,50 @@ def ljung_box_q(spark, d):
     return W.ljung_box(daily(spark, d), "x", "t", 10).select("lag", F.round("q", 4).alias("q"))
 
 
+@query()
+def ljung_box(spark, d):
+    return rounded(W.ljung_box_test(daily(spark, d), "x", "t", 10))
+
+
+@query()
+def pacf(spark, d):
+    r = [x["r"] for x in W.acf(daily(spark, d), "x", "t", 50).orderBy("lag").collect()]  # 51 rows
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(M.pacf(r))], "lag int, r double"))
+
+
+TRAILING = f"""{DAILY}, a AS (SELECT t, x, row_number() OVER (ORDER BY t) - 1 AS i, CASE WHEN count(*) OVER w = 365 THEN avg(x) OVER w END AS trend FROM daily WINDOW w AS (ORDER BY t ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)),
+s AS (SELECT i % 365 AS p, avg(x - trend) AS s FROM a GROUP BY 1), n AS (SELECT t, x, trend, s - (SELECT avg(s) FROM s) AS seasonal FROM a JOIN s ON i % 365 = p)"""
+
+
+@query(f"WITH {TRAILING} SELECT t, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(x - trend - seasonal, 3) AS resid FROM n")
+def decompose_trailing(spark, d):
+    return rounded(W.decompose(daily(spark, d), "x", "t", 365, False).select("t", "trend", "seasonal", "resid"), 3)
+
+
+@query(f"WITH {TRAILING} SELECT t, round(seasonal, 3) AS noise, round(x - seasonal, 3) AS denoised FROM n")
+def denoised(spark, d):
+    return rounded(W.denoised(daily(spark, d), "x", "t", 365).select("t", "noise", "denoised"), 3)
+
+
+@query(f"WITH {DAILY}, i AS (SELECT t, ln(x) AS l, row_number() OVER (ORDER BY t) - count(*) OVER () AS k FROM daily) SELECT t, round(l, 6) AS l, round(CASE WHEN count(*) OVER w = 30 THEN avg(l) OVER w END, 6) AS roll, round(sum(l * power(2, k / 30.0)) OVER u / sum(power(2, k / 30.0)) OVER u, 6) AS ewm FROM i WINDOW w AS (ORDER BY t ROWS 29 PRECEDING), u AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
+def log_smoothed(spark, d):
+    x = daily(spark, d).select("t", F.ln("x").alias("l"))
+    return rounded(W.ewm_mean(x.withColumn("roll", W.rolling_mean("l", "t", 30)), "l", "t", 30.0))
+
+
 @query()
 def adf(spark, d):
-    return M.adf(daily(spark, d), "x", "t", 5)
+    return M.adf(daily(spark, d), "x", "t")
+
+
+@query()
+def ar_order(spark, d):
+    return M.ar_order(daily(spark, d), "x", "t", 22, 365)
 
 
 @query()
 def ar_forecast(spark, d):
-    return M.ar_forecast(daily(spark, d), "x", "t", 22, 30)
+    return M.ar_forecast(daily(spark, d), "x", "t", 365, 30)
 
 
 # --- graph
@@ -410,43 +446,61 @@ def degrees(spark, d):
     return G.degrees(t(spark, d, "nation").select(F.col("n_name").alias("id")), edges(spark, d))
 
 
-SCORES = f"""{TRIPS}, v AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS flights, avg(delay) AS late, avg(distance) AS far FROM trips GROUP BY 1),
-f AS (SELECT id, ((flights - min(flights) OVER ()) / (max(flights) OVER () - min(flights) OVER ()) + (late - min(late) OVER ()) / (max(late) OVER () - min(late) OVER ()) + (far - min(far) OVER ()) / (max(far) OVER () - min(far) OVER ())) / 3 AS fragility FROM v)"""
+#: Cheapest paths between all pairs by hops, edges that lie on one, all of them counted, and the share of each pair's paths that passes a vertex.
+BETWEEN = """walk AS (SELECT s, s AS v, 0::BIGINT AS c, 0 AS hops FROM (SELECT DISTINCT src AS s FROM edges) UNION SELECT * FROM (SELECT s, dst AS v, min(c + n)::BIGINT AS c, max(hops) + 1 AS hops FROM walk JOIN edges ON src = v WHERE hops < 6 GROUP BY s, dst)),
+far AS (SELECT s, v, min(c) AS c FROM walk GROUP BY 1, 2), tight AS (SELECT a.s, e.src AS u, e.dst AS v FROM far a JOIN edges e ON a.v = e.src JOIN far b ON b.s = a.s AND b.v = e.dst AND b.c = a.c + e.n),
+trail AS (SELECT s, s AS v FROM (SELECT DISTINCT s FROM far) UNION ALL SELECT trail.s, tight.v FROM trail JOIN tight ON tight.s = trail.s AND tight.u = trail.v),
+ways AS (SELECT s, v, count(*) AS k FROM trail GROUP BY 1, 2), between AS (SELECT m.v AS id, sum(a.k * b.k / w.k) AS score FROM far m JOIN far e ON e.s = m.v JOIN far f ON f.s = m.s AND f.v = e.v AND f.c = m.c + e.c
+JOIN ways a ON a.s = m.s AND a.v = m.v JOIN ways b ON b.s = e.s AND b.v = e.v JOIN ways w ON w.s = f.s AND w.v = f.v WHERE m.s <> m.v AND e.s <> e.v AND m.s <> e.v GROUP BY 1)"""
+SCORES = f"""{EDGES}, {BETWEEN}, v AS (SELECT n_name AS id, n_regionkey AS community, coalesce((SELECT sum(n) FROM edges WHERE src = n_name), 0)::DOUBLE AS weighted,
+coalesce((SELECT score FROM between WHERE id = n_name), 0) AS betweenness, coalesce((SELECT avg(delay) FROM trips WHERE src = n_name), 0) AS late FROM nation),
+f AS (SELECT *, ((betweenness - min(betweenness) OVER ()) / nullif(max(betweenness) OVER () - min(betweenness) OVER (), 0) + (weighted - min(weighted) OVER ()) / (max(weighted) OVER () - min(weighted) OVER ()) + (late - min(late) OVER ()) / (max(late) OVER () - min(late) OVER ())) / 3 AS fragility FROM v)"""
+
 
+def _scores(spark, d, communities=None):
+    """Centrality of nations; communities are their regions unless others are given."""
+    given = t(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("community")) if communities is None else communities
+    e, late = edges(spark, d), trips(spark, d).groupBy(F.col("src").alias("id")).agg(F.avg("delay").alias("late"))
+    return G.centrality(given, e, G.betweenness(e, "n"), late)
 
-def _scores(spark, d):
-    v = trips(spark, d).groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("flights"), F.avg("delay").alias("late"), F.avg("distance").alias("far"))
-    return G.fragility(v, ["flights", "late", "far"])
 
+@query(f"WITH RECURSIVE {SCORES} SELECT id, community, weighted, round(betweenness, 6) AS betweenness, round(late, 6) AS late, round(fragility, 6) AS fragility FROM f")
+def centrality_table(spark, d):
+    return rounded(_scores(spark, d))
 
-@query(f"WITH {SCORES} SELECT id, round(fragility, 6) AS fragility, CAST(dense_rank() OVER (ORDER BY round(fragility, 6) DESC) AS INT) AS rank FROM f")
+
+@query()
+def centrality_louvain(spark, d):
+    return rounded(_scores(spark, d, G.louvain(edges(spark, d), "n")))
+
+
+@query(f"WITH RECURSIVE {SCORES} SELECT id, round(fragility, 6) AS fragility, CAST(dense_rank() OVER (ORDER BY round(fragility, 6) DESC) AS INT) AS rank FROM f")
 def fragility(spark, d):
     return _scores(spark, d).select("id", F.round("fragility", 6).alias("fragility")).withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("fragility").desc())))
 
 
-TOP2 = SCORES + ", g AS (SELECT n_regionkey AS region, id, fragility, row_number() OVER (PARTITION BY n_regionkey ORDER BY fragility DESC, id) AS rank FROM f JOIN nation ON id = n_name), k AS (SELECT * FROM g WHERE rank <= 2 AND region IN (SELECT region FROM g GROUP BY 1 HAVING count(*) > 4))"
+TOP2 = SCORES + ", g AS (SELECT community, id, fragility, row_number() OVER (PARTITION BY community ORDER BY fragility DESC, id) AS rank FROM f), k AS (SELECT * FROM g WHERE rank <= 2 AND community IN (SELECT community FROM g GROUP BY 1 HAVING count(*) > 4))"
 
 
 def _top2(spark, d):
-    g = _scores(spark, d).join(t(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("region")), "id")
-    return G.top_per_group(g, "region", "fragility", "id", 2, 4)
+    return G.top_per_group(_scores(spark, d), "community", "fragility", "id", 2, 4)
 
 
-@query(f"WITH {TOP2} SELECT region, id, CAST(rank AS INT) AS rank FROM k")
+@query(f"WITH RECURSIVE {TOP2} SELECT community, id, CAST(rank AS INT) AS rank FROM k")
 def top2_per_group(spark, d):
-    return _top2(spark, d).select("region", "id", "rank")
+    return _top2(spark, d).select("community", "id", "rank")
 
 
-@query(f"WITH {TOP2} SELECT src, dst, a.region, count(*) AS n, round(sum(delay), 4) AS total FROM trips JOIN k a ON src = a.id JOIN k b ON dst = b.id WHERE src <> dst GROUP BY ALL")
+@query(f"WITH RECURSIVE {TOP2} SELECT src, dst, a.community AS src_community, b.community AS dst_community, count(*) AS n, round(sum(delay), 4) AS total FROM trips JOIN k a ON src = a.id JOIN k b ON dst = b.id WHERE src <> dst GROUP BY ALL")
 def critical_routes(spark, d):
-    k = _top2(spark, d).select("id", "region")
-    x = trips(spark, d).join(k.withColumnRenamed("id", "src"), "src").join(k.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return x.filter("src <> dst").groupBy("src", "dst", "region").agg(F.count("*").alias("n"), F.round(F.sum("delay"), 4).alias("total"))
+    k = _top2(spark, d).select("id", "community")
+    x = trips(spark, d).join(k.select(F.col("id").alias("src"), F.col("community").alias("src_community")), "src").join(k.select(F.col("id").alias("dst"), F.col("community").alias("dst_community")), "dst")
+    return x.filter("src <> dst").groupBy("src", "dst", "src_community", "dst_community").agg(F.count("*").alias("n"), F.round(F.sum("delay"), 4).alias("total"))
 
 
-@query(f"WITH {EDGES} SELECT n_name AS id FROM nation WHERE n_name <> 'FRANCE' AND NOT EXISTS (SELECT 1 FROM edges WHERE src = 'FRANCE' AND dst = n_name)")
+@query(f"WITH {SPARSE} SELECT n_name AS id FROM nation WHERE n_name <> 'FRANCE' AND NOT EXISTS (SELECT 1 FROM edges WHERE src = 'FRANCE' AND dst = n_name)")
 def not_connected(spark, d):
-    e = edges(spark, d).filter("src = 'FRANCE'").select(F.col("dst").alias("id"))
+    e = sparse(spark, d).filter("src = 'FRANCE'").select(F.col("dst").alias("id"))
     return t(spark, d, "nation").select(F.col("n_name").alias("id")).filter("id <> 'FRANCE'").join(e, "id", "left_anti")
 
 
@@ -457,20 +511,37 @@ def _first(spark, d):
 PATHS = "best AS (SELECT node, cost FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY cost) = 1)"
 
 
-@query(f"""WITH RECURSIVE {EDGES}, walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT * FROM (SELECT dst AS node, min(walk.cost + edges.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN edges ON src = node WHERE hops < 6 GROUP BY dst)), {PATHS} SELECT node AS id, round(cost, 6) AS cost FROM best""")
+@query(f"""WITH RECURSIVE {SPARSE}, walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT * FROM (SELECT dst AS node, min(walk.cost + edges.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN edges ON src = node WHERE hops < 6 GROUP BY dst)), {PATHS} SELECT node AS id, round(cost, 6) AS cost FROM best""")
 def shortest_path(spark, d):
-    return G.shortest_paths(edges(spark, d), _first(spark, d), "cost").select("id", F.round("cost", 6).alias("cost"))
+    return G.shortest_paths(sparse(spark, d), _first(spark, d), "cost").select("id", F.round("cost", 6).alias("cost"))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, few AS (SELECT * FROM edges WHERE NOT (src = (SELECT min(n_name) FROM nation) AND n >= 3)), walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT * FROM (SELECT dst AS node, min(walk.cost + few.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN few ON src = node WHERE hops < 8 GROUP BY dst)), {PATHS} SELECT node AS id, round(cost, 6) AS cost FROM best""")
+@query(f"""WITH RECURSIVE {SPARSE}, few AS (SELECT * FROM edges WHERE NOT (src = (SELECT min(n_name) FROM nation) AND n >= 3)), walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT * FROM (SELECT dst AS node, min(walk.cost + few.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN few ON src = node WHERE hops < 8 GROUP BY dst)), {PATHS} SELECT node AS id, round(cost, 6) AS cost FROM best""")
 def path_after_removal(spark, d):
-    e, first = edges(spark, d), _first(spark, d)
+    e, first = sparse(spark, d), _first(spark, d)
     return G.shortest_paths(G.without_edges(e, e.filter((F.col("src") == first) & (F.col("n") >= 3))), first, "cost").select("id", F.round("cost", 6).alias("cost"))
 
 
-@query()
+@query(f"WITH {SPARSE} SELECT src AS id, count(*) AS degree FROM edges WHERE src IN (SELECT n_name FROM nation) GROUP BY 1 HAVING count(*) < 25 ORDER BY degree, id LIMIT 1")
+def low_degree_source(spark, d):
+    return G.low_degree_source(t(spark, d, "nation").select(F.col("n_name").alias("id")), sparse(spark, d), 25)
+
+
+REROUTE = """walk AS (SELECT 0 AS g, (SELECT min(n_name) FROM nation) AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION ALL SELECT 1, (SELECT min(n_name) FROM nation), 0.0, 0
+UNION SELECT * FROM (SELECT g, dst AS node, min(walk.cost + edges.cost) AS cost, max(hops) + 1 AS hops FROM walk JOIN edges ON src = node WHERE hops < 8 AND NOT (g = 1 AND src = (SELECT min(n_name) FROM nation) AND n >= 3) GROUP BY g, dst)),
+best AS (SELECT g, node, min(cost) AS cost FROM walk GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {SPARSE}, {REROUTE} SELECT a.node AS id, round(a.cost, 6) AS before, round(b.cost, 6) AS after, b.cost IS NULL OR round(b.cost, 6) > round(a.cost, 6) AS longer FROM best a LEFT JOIN best b ON a.node = b.node AND b.g = 1 WHERE a.g = 0")
+def rerouted(spark, d):
+    e, first = sparse(spark, d), _first(spark, d)
+    out = rounded(G.rerouted(e, e.filter((F.col("src") == first) & (F.col("n") >= 3)), first, "cost"))
+    return out.withColumn("longer", F.col("after").isNull() | (F.col("after") > F.col("before")))
+
+
+@query(f"WITH RECURSIVE {EDGES}, {BETWEEN} SELECT n_name AS id, round(coalesce(score, 0), 6) AS score FROM nation LEFT JOIN between ON id = n_name")
 def betweenness(spark, d):
-    return rounded(G.betweenness(edges(spark, d), "cost"))
+    return rounded(G.betweenness(edges(spark, d), "n"))
 
 
 @query()
@@ -478,9 +549,19 @@ def louvain(spark, d):
     return G.louvain(edges(spark, d), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPARSE}, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), deg AS (SELECT src, count(*) AS k FROM edges GROUP BY 1), m AS (SELECT count(*) AS n FROM ids),
+r AS (SELECT 0 AS i, id, 1.0::DOUBLE / n AS rank FROM ids, m UNION ALL SELECT * FROM (SELECT any_value(i) + 1 AS i, id, any_value(0.15 / n + 0.85 * lost / n) + 0.85 * sum(got) AS rank FROM (
+  SELECT r.i, e.dst AS id, r.rank / k AS got FROM r JOIN deg ON deg.src = r.id JOIN edges e ON e.src = r.id UNION ALL SELECT r.i, ids.id, 0.0 FROM (SELECT DISTINCT i FROM r) r, ids)
+  , m, (SELECT coalesce(sum(CASE WHEN k IS NULL THEN rank END), 0) AS lost FROM r LEFT JOIN deg ON deg.src = r.id) WHERE i < 150 GROUP BY id))
+SELECT id, round(rank, 6) AS rank FROM r WHERE i = 150""")
 def pagerank(spark, d):
-    return rounded(G.pagerank(edges(spark, d)))
+    return rounded(G.pagerank(sparse(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {SPARSE}, ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), w AS (SELECT id AS x, id AS y FROM ids UNION SELECT w.x, dst FROM w JOIN edges ON src = y)
+SELECT a.x AS id, min(a.y) AS component FROM w a JOIN w b ON a.x = b.y AND a.y = b.x GROUP BY 1""")
+def strong_components(spark, d):
+    return G.strong_components(sparse(spark, d))
 
 
 @query(f"WITH RECURSIVE {EDGES}, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT DISTINCT x, x AS y FROM b UNION SELECT w.x, b.y FROM w JOIN b ON w.y = b.x) SELECT x AS id, min(y) AS component FROM w GROUP BY 1")
@@ -506,11 +587,26 @@ def limit_score(spark, d):
     return P.limit_score(t(spark, d, "part"), {"p_size": (5, 45), "p_retailprice": (950, 1800)}).select("p_partkey", F.col("score").cast("double").alias("score"))
 
 
+@query("WITH q AS (SELECT quantile_cont(p_size, 0.1) AS a, quantile_cont(p_size, 0.9) AS b, quantile_cont(p_retailprice, 0.1) AS c, quantile_cont(p_retailprice, 0.9) AS e FROM part), h AS (SELECT p_partkey, CAST(p_size NOT BETWEEN a AND b AS INT) + CAST(p_retailprice NOT BETWEEN c AND e AS INT) AS h FROM part, q) SELECT p_partkey, (h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()) AS score FROM h")
+def limit_score_percentile(spark, d):
+    return P.limit_score(t(spark, d, "part"), {"p_size": (0.1, 0.9), "p_retailprice": (0.1, 0.9)}, "percentile").select("p_partkey", F.col("score").cast("double").alias("score"))
+
+
+@query()
+def limit_score_sinkhorn(spark, d):
+    return rounded(P.limit_score(t(spark, d, "part"), {"p_size": (5, 45), "p_retailprice": (950, 1800)}, "sinkhorn").select("p_partkey", "score"))
+
+
+@query("SELECT s_suppkey, abs(s_acctbal - m) / s > 1.5 AS outlier FROM supplier, (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier)")
+def outliers_zscore(spark, d):
+    return P.outliers(t(spark, d, "supplier"), "s_suppkey", ["s_acctbal"], "zscore", 1.5)
+
+
 def _vectors(spark, d):
     return t(spark, d, "embeddings"), F.col("embedding").cast("array<double>")
 
 
-PAIRS = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '|1'), vec_id LIMIT 2000), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.v, b.v)]) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
+PAIRS = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.v, b.v)]) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 
 
 @query(f"WITH {PAIRS} SELECT i AS vec_id, round(ln(sum(exp(-d2 / 2)) + 1), 6) AS log_density FROM p GROUP BY 1")
@@ -525,6 +621,12 @@ def dbscan_noise(spark, d):
     return P.dbscan_noise(df, "vec_id", v, 1.15, 10)
 
 
+@query(f"WITH {PAIRS}, s AS (SELECT i AS vec_id, round(ln(sum(exp(-d2 / 2)) + 1), 6) AS l FROM p GROUP BY 1) SELECT vec_id, l <= (SELECT quantile_cont(l, 0.02) FROM s) AS outlier FROM s")
+def outliers_kde(spark, d):
+    df, v = _vectors(spark, d)
+    return P.share_flags(rounded(P.kde_scores(df, "vec_id", v)), "log_density", 0.02, False).select("vec_id", "outlier")
+
+
 @query(f"""WITH {PAIRS}, nn AS (SELECT i, j, sqrt(d2) AS d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d2, j) <= 20), kd AS (SELECT i AS j, max(d) AS kd FROM nn GROUP BY 1),
 lrd AS (SELECT i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd USING (j) GROUP BY 1) SELECT nn.i AS vec_id, round(avg(b.lrd / a.lrd), 5) AS lof FROM nn JOIN lrd a ON nn.i = a.i JOIN lrd b ON nn.j = b.i GROUP BY 1""")
 def lof(spark, d):
@@ -532,7 +634,10 @@ def lof(spark, d):
     return rounded(P.lof(df, "vec_id", v), 5)
 
 
-@query()
+TWO = "WITH m AS (SELECT avg(p_size) AS a, avg(p_retailprice) AS b, stddev_pop(p_size) AS s, stddev_pop(p_retailprice) AS u, corr(p_size, p_retailprice) AS r FROM part), z AS (SELECT p_partkey, p_size, p_retailprice, (p_size - a) / s AS x, (p_retailprice - b) / u AS y, r FROM part, m)"
+
+
+@query(f"{TWO}, q AS (SELECT p_partkey, p_size, p_retailprice, (x * x - 2 * r * x * y + y * y) / (1 - r * r) AS d2 FROM z) SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice, round(d2, 6) AS d2, d2 > -2 * ln(0.05) AS outlier FROM q")
 def mahalanobis(spark, d):
     return rounded(M.mahalanobis(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]))
 
@@ -579,6 +684,16 @@ def mice(spark, d):
     return rounded(M.iterative_impute(p, "p_partkey", ["p_size", "p_retailprice", "z"], 3), 4)
 
 
+@query(f"{TWO}, r AS (SELECT abs(any_value(r)) AS r FROM z) SELECT CAST(1 AS INT) AS component, round(1 + r, 6) AS eigenvalue, round((1 + r) / 2, 6) AS share, round((1 + r) / 2, 6) AS cumulative, round((1 - r) / 2, 6) AS mse FROM r UNION ALL SELECT 2, round(1 - r, 6), round((1 - r) / 2, 6), 1.0, 0.0 FROM r")
+def pca_two(spark, d):
+    return rounded(M.pca(t(spark, d, "part"), ["p_size", "p_retailprice"]))
+
+
+@query(f"{TWO} SELECT p_partkey, round((x + sign(r) * y) / sqrt(2), 6) AS pc1, round((x - sign(r) * y) / sqrt(2), 6) * CASE WHEN r > 0 THEN 1 ELSE 1 END AS pc2 FROM z")
+def pca_plane(spark, d):
+    return rounded(M.pca_scores(t(spark, d, "part"), ["p_size", "p_retailprice"]).select("p_partkey", "pc1", "pc2"))
+
+
 @query()
 def pca(spark, d):
     return rounded(M.pca(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
@@ -608,11 +723,26 @@ def class_report(spark, d):
     return rounded(M.class_report(t(spark, d, "labels"), "quality", "toxic"))
 
 
+@query("SELECT round(avg(hit), 6) AS balanced_accuracy FROM (SELECT quality, avg(CAST(quality = toxic AS INT)) AS hit FROM labels GROUP BY 1)")
+def balanced_accuracy(spark, d):
+    return rounded(M.balanced_accuracy(t(spark, d, "labels"), "quality", "toxic"))
+
+
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def confusion(spark, d):
     return t(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
+MISSING = " UNION ALL ".join(f"""SELECT '{c}' AS col, (avg(x) FILTER (WHERE m) - avg(x) FILTER (WHERE NOT m)) / sqrt(((count(*) FILTER (WHERE m) - 1) * var_samp(x) FILTER (WHERE m) + (count(*) FILTER (WHERE NOT m) - 1) * var_samp(x) FILTER (WHERE NOT m)) / (count(*) - 2)
+* (1 / count(*) FILTER (WHERE m) + 1 / count(*) FILTER (WHERE NOT m))) AS t, sum(r) FILTER (WHERE m) - count(*) FILTER (WHERE m) * (count(*) FILTER (WHERE m) + 1) / 2 AS u
+FROM (SELECT p_partkey % 3 = 0 AS m, {c}::DOUBLE AS x, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r FROM part)""" for c in ("p_size", "p_retailprice"))
+
+
+@query(f"SELECT col, round(t, 6) AS t, round(u, 6) AS u FROM ({MISSING})")
+def missingness_stats(spark, d):
+    return missingness_tests(spark, d).select("col", "t", "u")
+
+
 @query()
 def missingness_tests(spark, d):
     return rounded(M.missingness_tests(t(spark, d, "part"), F.col("p_partkey") % 3 == 0, ["p_size", "p_retailprice"]))
@@ -645,20 +775,61 @@ def mds(spark, d):
     return spark.createDataFrame([(r["vec_id"], float(a), float(b)) for r, (a, b) in zip(rows, xy, strict=True)], "vec_id long, x double, y double")
 
 
+# --- tables as graph stores hold them, checks on them, previews
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def upsert_nodes(spark, d):
+    return S.upsert(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumn("row", F.col("o_orderkey")), ["o_custkey"], "row").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT * FROM (VALUES (0, 'n_nationkey', (SELECT count(n_nationkey) FROM nation)), (1, 'n_name', (SELECT count(n_name) FROM nation)), (2, 'n_regionkey', (SELECT count(n_regionkey) FROM nation))) v(position, col, filled)")
+def preview(spark, d):
+    return S.preview(t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")).drop("type")
+
+
+@query("SELECT doc_id IS NULL AS doc_id, source IS NULL AS source FROM (SELECT nullif(doc_id, 3) AS doc_id, CASE WHEN doc_id % 5 > 0 THEN source END AS source, lang FROM documents)")
+def null_mask(spark, d):
+    x = t(spark, d, "documents").select(F.nullif("doc_id", F.lit(3)).alias("doc_id"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("source"), F.lit("x").alias("lang"))
+    return S.null_mask(x)
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT 'nation' AS label FROM nation UNION ALL SELECT 'region' FROM region UNION ALL SELECT 'part' FROM part) GROUP BY 1")
+def label_counts(spark, d):
+    rows = [t(spark, d, name).select(F.array(F.lit(name)).alias("labels")) for name in ("nation", "region", "part")]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+def frame_rollback(spark, d):
+    x = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    back = []
+    for how in ("codes", "dummy"):
+        rows, plan = S.encode_frame(x, ["o_orderstatus"], how)
+        back.append(S.decode_frame(rows, plan))
+    return back[0].intersect(back[1])
+
+
+@query("SELECT bin, CAST(sum(CASE WHEN odd THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN odd THEN 0 ELSE 1 END) AS BIGINT) AS b FROM (SELECT o_orderkey % 2 = 1 AS odd, CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)) GROUP BY bin")
+def hist_pair(spark, d):
+    o = t(spark, d, "orders")
+    return ST.histogram_pair(o.filter("o_orderkey % 2 = 1"), o.filter("o_orderkey % 2 <> 1"), "o_totalprice", 30)
+
+
 # --- micro-benchmarks
 
 
-@query("SELECT i % 100 AS group_id, count(*) AS n FROM range(1000000) r(i) GROUP BY 1")
+@query("SELECT * FROM (VALUES ('rows', 1000000), ('filtered', 500000), ('groups', 100), ('repartitioned', 1000000)) v(action, n)")
 def bench_mem(spark, d):
     return bench.memory(spark)
 
 
 @query("SELECT i % 100 AS group_key, CAST(sum(154) AS BIGINT) AS total_len, count(*) AS row_count FROM range(500000) r(i) GROUP BY 1")
 def bench_hdd(spark, d):
-    return bench.disk(spark)
+    return bench.disk(spark).drop("total_value")  # of random numbers
 
 
-@query("SELECT a.i % 10 AS key1, a.i % 50 AS key2, CAST(sum(24) AS BIGINT) AS total_len, count(*) AS n FROM range(500000) a(i) JOIN range(500000) b(j) ON a.i = b.j + 100 GROUP BY ALL")
+@query("SELECT a.i % 10 AS key1, b.j % 50 AS key2, CAST(sum(12) AS BIGINT) AS len1, CAST(sum(12) AS BIGINT) AS len2, count(*) AS n FROM range(500000) a(i) JOIN range(500000) b(j) ON a.i = b.j + 100 GROUP BY ALL")
 def bench_network(spark, d):
     return bench.network(spark)
 
