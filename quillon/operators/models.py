@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile, chi2_sf, fisher_exact, normal_cdf, skew_test, t_two_sided
+from .sampling import shuffled
 from .windows import over
 
 
@@ -403,7 +405,7 @@ def sinkhorn(m: np.ndarray, rounds: int = 100, tol: float = 1e-7) -> np.ndarray:
 
 
 def mds(distances: np.ndarray, dims: int = 2) -> np.ndarray:
-    """Classical scaling of a bounded sample's distances."""
+    """Classical scaling of a small matrix of distances; mds_plane does it for tables of vectors."""
     n = len(distances)
     j = np.eye(n) - 1 / n
     values, vectors = np.linalg.eigh(-0.5 * j @ (distances**2) @ j)
@@ -411,8 +413,67 @@ def mds(distances: np.ndarray, dims: int = 2) -> np.ndarray:
     return vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
 
 
-def kernel_spectrum(x: np.ndarray, kind: str = "rbf", gamma: float = 0.1) -> np.ndarray:
-    """Descending eigenvalues of the centred kernel matrix of a bounded sample."""
-    k = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2)) if kind == "rbf" else (x @ x.T + 1) ** 2
-    j = np.eye(len(x)) - 1 / len(x)
-    return np.sort(np.linalg.eigvalsh(j @ k @ j))[::-1]
+def products(df: DataFrame, v: Column, features: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, feature sums and sums of feature products over all rows with a vector. A task sums its batches to width * (width + 1) cells, which
+    Spark adds up, so neither a task nor the driver holds more than that whatever the rows."""
+
+    def run(batches):
+        n, sums, total = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                f = features(np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float))
+                n, sums, total = n + len(f), sums + f.sum(axis=0), total + f.T @ f
+        cells = np.concatenate([[n], sums, total.ravel()])
+        if n:
+            for a in range(0, len(cells), 1 << 16):
+                part = cells[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), pa.array(part)], ["cell", "value"])
+
+    out = np.zeros(1 + width + width * width)
+    sums = df.select(v.alias("v")).filter("v is not null").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    table = sums.toArrow()
+    out[table["cell"].to_numpy()] = table["value"].to_numpy()
+    return int(out[0]), out[1 : 1 + width], out[1 + width :].reshape(width, width)
+
+
+def mds_plane(df: DataFrame, key: str, v: Column, dims: int = 2) -> DataFrame:
+    """key, x1, x2, ...: classical scaling of the Euclidean distances of all vectors. Its coordinates are those on the largest components of the
+    centred vectors, so no distance matrix is made. A component's largest loading is positive; rows without a vector get nulls."""
+    first = df.select(v.alias("v")).filter("v is not null").first()
+    near = np.array(first[0] if first else [0.0] * dims, dtype=float)
+    n, sums, x = products(df, v, lambda rows: rows - near, len(near))
+    off = sums / max(n, 1)
+    _, vectors = np.linalg.eigh(x - n * np.outer(off, off))
+    cells = []
+    for k in range(dims):
+        w = vectors[:, -1 - k]
+        w = w * np.sign(w[np.argmax(np.abs(np.round(w, 9)))])
+        parts = F.zip_with(v, F.array(*map(F.lit, (near + off).tolist())), lambda a, m: a - m)
+        cells.append(F.aggregate(F.zip_with(parts, F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a).alias(f"x{k + 1}"))
+    return df.select(key, *cells)
+
+
+def kernel_spectrum(df: DataFrame, key: str, v: Column, kind: str = "rbf", gamma: float = 0.1, top: int = 20, landmarks: int = 512) -> DataFrame:
+    """(component, eigenvalue): the largest eigenvalues of the centred kernel matrix of all vectors, rbf or (x.y + 1)^2.
+
+    Every row enters, by its kernel values with `landmarks` vectors (Nystroem features): the matrix of all pairs is never made, work grows with
+    the rows. Exact while there are no more vectors than landmarks, or the kernel's rank is no larger than theirs; else a lower bound of
+    each eigenvalue, closer the more landmarks there are.
+    """
+    rows = df.select(key, v.alias("v")).filter("v is not null")
+    marks = np.array([r[0] for r in rows.orderBy(shuffled([key], 1), key).limit(landmarks).select("v").collect()], dtype=float)
+    if not len(marks):
+        return df.sparkSession.createDataFrame([], "component int, eigenvalue double")
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        dots = a @ marks.T
+        if kind != "rbf":
+            return (dots + 1) ** 2
+        return np.exp(-gamma * np.maximum((a * a).sum(axis=1)[:, None] + (marks * marks).sum(axis=1) - 2 * dots, 0))
+
+    values, vectors = np.linalg.eigh(kernel(marks))
+    kept = values > values[-1] * 1e-13
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    n, sums, x = products(rows, F.col("v"), lambda a: kernel(a) @ root, root.shape[1])
+    spectrum = np.linalg.eigvalsh(x - np.outer(sums, sums) / n)[::-1][: min(top, n)]
+    return df.sparkSession.createDataFrame([(k + 1, float(e)) for k, e in enumerate(spectrum)], "component int, eigenvalue double")

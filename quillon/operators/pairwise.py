@@ -1,7 +1,6 @@
 """Operators on pairs of rows: outliers by neighbours, mixed-type dissimilarity, text cosine, nearest-neighbour imputation.
 
-They are quadratic by definition. `bounded` takes all rows up to `most` (a documented bound of the operator, as pairs grow with
-its square) and else the deterministic sample of that size.
+They are quadratic by definition, and take all rows.
 """
 
 from __future__ import annotations
@@ -12,14 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
-from .sampling import shuffled
 from .stats import null_report
 
 
-def bounded(df: DataFrame, key: str, most: int = 5000, seed: int = 1) -> DataFrame:
-    return df.orderBy(shuffled([key], seed), key).limit(most)
-
-
 def vector(columns: Sequence[str]) -> Column:
     return F.array(*(F.col(c).cast("double") for c in columns))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -762,17 +761,20 @@ def chi_square(spark, d):
 
 @query()
 def kernel_spectrum(spark, d):
-    rows = P.bounded(t(spark, d, "embeddings"), "vec_id", 300).select("vec_id", "embedding").orderBy("vec_id").collect()  # a bounded sample
-    values = M.kernel_spectrum(np.array([r["embedding"] for r in rows]))[:20]
-    return spark.createDataFrame([(k + 1, round(float(v), 6)) for k, v in enumerate(values)], "component int, eigenvalue double")
+    df, v = _vectors(spark, d)
+    return rounded(M.kernel_spectrum(df, "vec_id", v))
+
+
+@query()
+def kernel_spectrum_poly(spark, d):
+    df, v = _vectors(spark, d)
+    return rounded(M.kernel_spectrum(df, "vec_id", v, "poly"), 4)
 
 
 @query()
 def mds(spark, d):
-    rows = P.bounded(t(spark, d, "embeddings"), "vec_id", 300).select("vec_id", "embedding").orderBy("vec_id").collect()  # a bounded sample
-    x = np.array([r["embedding"] for r in rows])
-    xy = M.mds(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
-    return spark.createDataFrame([(r["vec_id"], float(a), float(b)) for r, (a, b) in zip(rows, xy, strict=True)], "vec_id long, x double, y double")
+    df, v = _vectors(spark, d)
+    return M.mds_plane(df, "vec_id", v).select("vec_id", F.round("x1", 6).alias("x"), F.round("x2", 6).alias("y"))
 
 
 # --- tables as graph stores hold them, checks on them, previews
