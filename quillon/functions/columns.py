@@ -98,3 +98,19 @@ def any_of(conditions: Sequence[Column]) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case words of two or more word characters."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w\w+)"), 1)
+
+
+def date_coerced(c: Column) -> Column:
+    """Date of a text; null where it has none."""
+    return F.trim(c).try_cast("date")
+
+
+def point(lon: Column, lat: Column) -> Column:
+    """Point (lon, lat) in degrees; null where a part is missing or off the globe."""
+    return F.when(lon.between(-180, 180) & lat.between(-90, 90), F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat")))
+
+
+def after_prefix(c: Column, separator: str) -> Column:
+    """What follows the first separator; the whole text where there is none."""
+    at = F.instr(c, separator)
+    return F.when(at > 0, F.substr(c, at + len(separator))).otherwise(c)

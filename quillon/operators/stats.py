@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,3 +109,47 @@ def scaled(df: DataFrame, columns: Sequence[str], how: str = "standard") -> Data
     out = df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row of parameters
     keep = [c for c in df.columns if c not in columns]
     return out.select(*keep, *(F.when(F.col(f"_b_{c}") > 0, (F.col(c) - F.col(f"_a_{c}")) / F.col(f"_b_{c}")).when(F.col(c).isNotNull(), F.lit(0.0)).alias(c) for c in columns))
+
+
+def divergence(counts: DataFrame, a: str, b: str) -> DataFrame:
+    """(kl, js) of the shares of two counts, one row for each bin, natural logarithms. kl is null where `a` has rows in a bin that `b` lacks
+    (it is infinite) and both are null where a side has no rows; js is the mean of both sides' divergence from their mixture."""
+    total = counts.agg(F.sum(a).alias("_na"), F.sum(b).alias("_nb"))  # one row
+    shares = counts.crossJoin(F.broadcast(total)).filter("_na > 0 and _nb > 0").select((F.col(a) / F.col("_na")).alias("p"), (F.col(b) / F.col("_nb")).alias("q"))
+    term = lambda x, y: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / y)).otherwise(0.0)
+    middle = (F.col("p") + F.col("q")) / 2
+    kl = F.when(F.max((F.col("p") > 0) & (F.col("q") == 0)), None).otherwise(F.sum(term("p", F.nullif("q", F.lit(0.0)))))
+    return shares.agg(kl.alias("kl"), ((F.sum(term("p", middle)) + F.sum(term("q", middle))) / 2).alias("js"))
+
+
+def point_biserial(df: DataFrame, flag: str, column: str) -> DataFrame:
+    """(r, n): correlation of a boolean with a numeric column over the rows that have both."""
+    both = df.select(F.col(flag).cast("boolean").cast("double").alias("_f"), F.col(column).cast("double").alias("_x")).dropna()
+    return both.agg(F.corr("_f", "_x").alias("r"), F.count("*").alias("n"))
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(tau, n): Kendall's tau-b, ties corrected, null where a column is constant. Pairs are counted by running sums over the table of distinct values
+    of one column by those of the other, never row by row: for columns of few distinct values."""
+    cells = df.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    grid = cells.select("x").distinct().crossJoin(cells.select("y").distinct()).join(cells, ["x", "y"], "left").fillna(0.0, ["n"])
+    before = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    lower, whole = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("x")
+    grid = grid.withColumn("_s", F.coalesce(F.sum("n").over(before), F.lit(0.0)))  # rows of this y and a smaller x
+    less = F.coalesce(F.sum("_s").over(lower), F.lit(0.0))
+    more = F.sum("_s").over(whole) - less - F.col("_s")
+    score = grid.select("n", less.alias("less"), more.alias("more")).agg(F.sum(F.col("n") * (F.col("less") - F.col("more"))).alias("s"), F.sum("n").alias("n"))
+    tied = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(name))
+    row = score.crossJoin(tied("x", "_tx")).crossJoin(tied("y", "_ty"))  # one row each
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    free = (pairs - F.col("_tx")) * (pairs - F.col("_ty"))
+    return row.select(F.when(free > 0, F.col("s") / F.sqrt(free)).alias("tau"), F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"))
+
+
+def qq_normal(df: DataFrame, column: str, n: int) -> DataFrame:
+    """(k, x, normal): quantiles of the column at the shares (k + 1/2) / n (linear interpolation) beside those of the normal distribution of its mean and
+    standard deviation."""
+    at = [(k + 0.5) / n for k in range(n)]
+    row = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("_q"), F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
+    z = F.array(*(F.lit(NormalDist().inv_cdf(p)) for p in at))
+    return row.select("_m", "_s", F.posexplode(F.arrays_zip(F.col("_q").alias("x"), z.alias("z"))).alias("k", "_e")).select("k", "_e.x", (F.col("_m") + F.col("_s") * F.col("_e.z")).alias("normal"))

@@ -99,3 +99,30 @@ def denoised(df: DataFrame, x: str, order: str, period: int, trend: bool = False
 def with_noise(forecast: DataFrame, noise: DataFrame, order: str, name: str = "forecast") -> DataFrame:
     """A forecast with the noise of the same steps added."""
     return forecast.join(noise.select(order, F.col("noise").alias("_noise")), order, "left").withColumn(name, F.col(name) + F.coalesce("_noise", F.lit(0.0))).drop("_noise")
+
+
+def interpolated(x: Column, order: str, by: Sequence[str] = ()) -> Column:
+    """Gaps filled on the straight line between the rows around them, by row number; leading gaps stay, trailing ones take the last value."""
+    w = Window.partitionBy(*by).orderBy(order) if by else over(order)
+    i = F.row_number().over(w)
+    at = F.when(x.isNotNull(), i)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    x0, x1 = F.last(x, True).over(back), F.first(x, True).over(ahead)
+    i0, i1 = F.last(at, True).over(back), F.first(at, True).over(ahead)
+    return F.when(x.isNotNull() | x1.isNull(), x0).otherwise(x0 + (x1 - x0) * (i - i0) / (i1 - i0))
+
+
+def imputed(df: DataFrame, column: str, how: str, order: str | None = None, value: object = None) -> DataFrame:
+    """Nulls of a column by mean, median, mode (least of the commonest), const (`value`), ffill or interpolate (both along `order`)."""
+    x = F.col(column)
+    if how == "const":
+        return df.withColumn(column, F.coalesce(x, F.lit(value)))
+    if how in ("ffill", "interpolate"):
+        if order is None:
+            raise ValueError(f"{how} needs an order")
+        fill = F.last(x, True).over(over(order).rowsBetween(Window.unboundedPreceding, 0)) if how == "ffill" else interpolated(x, order)
+        return df.withColumn(column, fill)
+    if how not in ("mean", "median", "mode"):
+        raise ValueError(f"unknown way {how}: mean, median, mode, const, ffill or interpolate")
+    one = {"mean": F.avg(column), "median": F.median(column), "mode": F.mode(column, True)}[how]
+    return df.crossJoin(F.broadcast(df.agg(one.alias("_fill")))).withColumn(column, F.coalesce(x, F.col("_fill"))).drop("_fill")  # one row

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from ..operators import models as M
 from ..operators import pairwise as P
 from ..operators import sampling as SA
 from ..operators import schema as S
+from ..operators import states as KV
 from ..operators import stats as ST
 from ..operators import windows as W
+from ..sources.synthetic import mixture
 from . import bench
 from .trips import DAILY, EDGES, SPARSE, TRIPS, daily, edges, sparse, t, trips
 
@@ -818,6 +821,156 @@ def hist_pair(spark, d):
     return ST.histogram_pair(o.filter("o_orderkey % 2 = 1"), o.filter("o_orderkey % 2 <> 1"), "o_totalprice", 30)
 
 
+# --- further statistics and imputation
+
+
+@query("SELECT p_partkey, round((p_size - a) / (b - a), 6) AS p_size, round((p_retailprice - c) / (e - c), 6) AS p_retailprice FROM part, (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS e FROM part)")
+def minmax_scaling(spark, d):
+    return rounded(ST.scaled(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "minmax"))
+
+
+@query("""WITH c AS (SELECT l_linenumber AS k, count(*) FILTER (WHERE l_returnflag = 'R') AS a, count(*) FILTER (WHERE l_returnflag <> 'R') AS b FROM lineitem GROUP BY 1),
+s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c), j AS (SELECT p, q, (p + q) / 2 AS m FROM s)
+SELECT round(CASE WHEN bool_or(p > 0 AND q = 0) THEN NULL ELSE sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END) END, 9) AS kl,
+round(sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END) / 2, 9) AS js FROM j""")
+def divergence(spark, d):
+    r = F.col("l_returnflag") == "R"
+    return rounded(ST.divergence(t(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count_if(r).alias("a"), F.count_if(~r).alias("b")), "a", "b"), 9)
+
+
+@query("SELECT round(corr(CAST(l_returnflag = 'R' AS INT), l_quantity), 6) AS r, count(*) AS n FROM lineitem")
+def point_biserial(spark, d):
+    return rounded(ST.point_biserial(t(spark, d, "lineitem").withColumn("back", F.col("l_returnflag") == "R"), "back", "l_quantity"))
+
+
+@query("""WITH c AS (SELECT l_linenumber AS x, l_quantity AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), s AS (SELECT sum(a.n * b.n * sign(b.y - a.y)) AS s FROM c a JOIN c b ON a.x < b.x),
+q AS (SELECT sum(n) AS n, sum(n) * (sum(n) - 1) / 2 AS pairs, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM c GROUP BY x)) AS tx, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM c GROUP BY y)) AS ty FROM c)
+SELECT round(s / sqrt((pairs - tx) * (pairs - ty)), 6) AS tau, CAST(n AS BIGINT) AS n FROM s, q""")
+def kendall(spark, d):
+    return rounded(ST.kendall(t(spark, d, "lineitem"), "l_linenumber", "l_quantity"))
+
+
+Z = ", ".join(f"({k}, {(k + 0.5) / 100}, {NormalDist().inv_cdf((k + 0.5) / 100)!r})" for k in range(100))
+
+
+@query(f"WITH z(k, p, z) AS (VALUES {Z}), q AS (SELECT quantile_cont(c_acctbal, [{', '.join(str((k + 0.5) / 100) for k in range(100))}]) AS q, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer) SELECT CAST(k AS INT) AS k, round(q[k + 1], 6) AS x, round(m + s * z, 6) AS normal FROM z, q")
+def qq_normal(spark, d):
+    return rounded(ST.qq_normal(t(spark, d, "customer"), "c_acctbal", 100))
+
+
+GAPS = f"{DAILY}, g AS (SELECT t, CASE WHEN day(t) % 7 <> 0 THEN x END AS x, row_number() OVER (ORDER BY t) AS i FROM daily)"
+
+
+def _gaps(spark, d):
+    return daily(spark, d).withColumn("x", F.when(F.dayofmonth("t") % 7 != 0, F.col("x")))
+
+
+@query(f"WITH {GAPS}, m AS (SELECT avg(x) AS a, quantile_cont(x, 0.5) AS b FROM g) SELECT t, round(coalesce(x, a), 4) AS mean, round(coalesce(x, b), 4) AS median, round(coalesce(x, -1), 4) AS const FROM g, m")
+def impute_simple(spark, d):
+    x = _gaps(spark, d).select("t", *(F.col("x").alias(c) for c in ("mean", "median", "const")))
+    return rounded(W.imputed(W.imputed(W.imputed(x, "mean", "mean"), "median", "median"), "const", "const", value=-1.0), 4)
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), (SELECT min(f) FROM (SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1 QUALIFY n = max(n) OVER ()))) AS flag FROM lineitem")
+def impute_mode(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("flag"))
+    return W.imputed(x, "flag", "mode")
+
+
+@query(f"""WITH {GAPS}, w AS (SELECT t, x, i, last_value(x IGNORE NULLS) OVER b AS x0, first_value(x IGNORE NULLS) OVER a AS x1, max(CASE WHEN x IS NOT NULL THEN i END) OVER b AS i0, min(CASE WHEN x IS NOT NULL THEN i END) OVER a AS i1
+FROM g WINDOW b AS (ORDER BY t ROWS UNBOUNDED PRECEDING), a AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT t, round(x0, 4) AS filled, round(CASE WHEN x IS NOT NULL OR x1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (i - i0) / (i1 - i0) END, 4) AS line FROM w""")
+def impute_ordered(spark, d):
+    x = _gaps(spark, d).select("t", F.col("x").alias("filled"), F.col("x").alias("line"))
+    return rounded(W.imputed(W.imputed(x, "filled", "ffill", "t"), "line", "interpolate", "t"), 4)
+
+
+# --- small sources and shapes
+
+
+@query("SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN '2015-02-30' WHEN o_orderkey % 3 = 1 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS day FROM orders")
+def date_coerced(spark, d):
+    k = F.col("o_orderkey") % 3
+    s = F.when(k == 0, "2015-02-30").when(k == 1, "none").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t(spark, d, "orders").select("o_orderkey", C.date_coerced(s).alias("day"))
+
+
+@query("SELECT s_suppkey, CASE WHEN lat <= 90 THEN lon END AS lon, CASE WHEN lat <= 90 THEN lat END AS lat FROM (SELECT s_suppkey, CAST(s_suppkey % 360 - 180 AS DOUBLE) AS lon, CAST(s_suppkey % 100 AS DOUBLE) AS lat FROM supplier)")
+def points(spark, d):
+    p = t(spark, d, "supplier").select("s_suppkey", C.point(F.col("s_suppkey") % 360 - 180, F.col("s_suppkey") % 100).alias("p"))
+    return p.select("s_suppkey", "p.lon", "p.lat")
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('a', 2), ('b', 3)) v(name, k)")
+def list_source(spark, d):
+    rows = spark.createDataFrame([("a", [1, 2]), ("b", [3]), ("c", [])], "name string, ks array<int>")
+    return rows.select("name", F.explode("ks").alias("k"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_type, ' ') THEN substr(p_type, instr(p_type, ' ') + 1) ELSE p_type END AS rest, CASE WHEN contains(p_brand, '#') THEN substr(p_brand, instr(p_brand, '#') + 1) ELSE p_brand END AS number FROM part")
+def prefix_split(spark, d):
+    return t(spark, d, "part").select("p_partkey", C.after_prefix(F.col("p_type"), " ").alias("rest"), C.after_prefix(F.col("p_brand"), "#").alias("number"))
+
+
+@query("SELECT label, position, n FROM (VALUES ('R', 0), ('X', 1), ('A', 2)) l(label, position) LEFT JOIN (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1) ON l_returnflag = label")
+def reindexed(spark, d):
+    labels = spark.createDataFrame([(c, k) for k, c in enumerate("RXA")], "label string, position int")
+    n = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"))
+    return labels.join(n, "label", "left")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def positional_slice(spark, d):
+    c = t(spark, d, "customer")
+    return c.select(c.columns[:2])
+
+
+@query("SELECT CAST(part AS INT) AS part, n FROM (VALUES (0, 500::BIGINT), (1, 300::BIGINT), (2, 200::BIGINT)) v(part, n)")
+def mixture_sizes(spark, d):
+    return mixture(spark, [(500, 10, 2), (300, 20, 3), (200, 35, 5)]).groupBy("part").agg(F.count("x").alias("n"))
+
+
+# --- key-value states
+
+
+KV_STATES = "kv AS (SELECT CAST(o_orderkey % 3 AS INT) AS node, o_custkey % 50 AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY ALL)"
+
+
+def _kv(spark, d):
+    k = F.col("o_orderkey")
+    return KV.written(t(spark, d, "orders").select((k % 3).cast("int").alias("node"), (F.col("o_custkey") % 50).alias("key"), F.col("o_orderstatus").alias("value"), k.alias("at")), "at")
+
+
+@query(f"WITH {KV_STATES} SELECT * FROM kv")
+def kv_states(spark, d):
+    return _kv(spark, d)
+
+
+@query(f"WITH {KV_STATES} SELECT key, value FROM kv WHERE node = 1")
+def kv_scan(spark, d):
+    return KV.scan(_kv(spark, d), 1)
+
+
+@query(f"WITH {KV_STATES} SELECT value FROM kv WHERE node = 1 AND key = 7")
+def kv_read(spark, d):
+    return KV.read_key(_kv(spark, d), 1, 7)
+
+
+@query(f"""WITH {KV_STATES}, two AS (SELECT * FROM kv UNION ALL SELECT 3, key, value FROM kv WHERE node = 1), n AS (SELECT DISTINCT node FROM two)
+SELECT a.node AS a, b.node AS b, NOT EXISTS (SELECT 1 FROM (SELECT key, value FROM two WHERE node = a.node) x FULL JOIN (SELECT key, value FROM two WHERE node = b.node) y ON x.key = y.key WHERE x.key IS NULL OR y.key IS NULL OR x.value IS DISTINCT FROM y.value) AS same
+FROM n a JOIN n b ON a.node < b.node""")
+def kv_agreement(spark, d):
+    s = _kv(spark, d)
+    return KV.agreement(s.unionByName(s.filter("node = 1").withColumn("node", F.lit(3))))
+
+
+@query(f"""WITH {KV_STATES} SELECT 'available' AS verdict, (SELECT count(*) = count(value) FROM kv) AS holds UNION ALL
+SELECT 'consistent', (SELECT max(n) = 1 AND min(k) = (SELECT count(DISTINCT node) FROM kv) FROM (SELECT key, count(DISTINCT value) AS n, count(*) AS k FROM kv GROUP BY 1)) UNION ALL SELECT 'tolerant', (SELECT bool_and(l_quantity > 0 AND l_discount >= 0 AND l_tax >= 0) FROM lineitem WHERE l_linenumber = 1)""")
+def kv_verdicts(spark, d):
+    parts = t(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_quantity") > 0).alias("disconnected"), (F.col("l_discount") >= 0).alias("reconnected"), (F.col("l_tax") >= 0).alias("success_during"))
+    return KV.verdicts(_kv(spark, d).select("value"), _kv(spark, d), parts)
+
+
 # --- micro-benchmarks
 
 
