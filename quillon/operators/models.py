@@ -309,14 +309,13 @@ def pacf(r: Sequence[float]) -> list[float]:
 
 def missingness_tests(df: DataFrame, mask: Column, columns: Sequence[str]) -> DataFrame:
     """For each numeric column, t test and Mann-Whitney test of its values between rows with and without the mask."""
-    from .stats import melt
+    from .stats import melt, ranged
 
     long = melt(df.withColumn("_m", mask.cast("int")), columns, ["_m"])
     g = {(r["col"], r["_m"]): r for r in long.groupBy("col", "_m").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var")).collect()}
     counts = long.groupBy("col", "x").agg(F.count("*").alias("n"), F.sum("_m").alias("k"))
-    w = over("x", ["col"]).rowsBetween(-(1 << 31), -1)
-    rank = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
-    u = {r["col"]: r for r in counts.withColumn("rank", rank).groupBy("col").agg(F.sum(F.col("rank") * F.col("k")).alias("ranks"), F.sum(F.pow("n", F.lit(3.0)) - F.col("n")).alias("ties")).collect()}
+    rank = F.col("before_n") + (F.col("n") + 1) / 2
+    u = {r["col"]: r for r in ranged(counts, ["n"]).withColumn("rank", rank).groupBy("col").agg(F.sum(F.col("rank") * F.col("k")).alias("ranks"), F.sum(F.pow("n", F.lit(3.0)) - F.col("n")).alias("ties")).collect()}
     rows = []
     for c in columns:
         a, b = g.get((c, 1)), g.get((c, 0))

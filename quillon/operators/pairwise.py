@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
-from .stats import null_report
+from .stats import null_report, quantiles
 
 
 def vector(columns: Sequence[str]) -> Column:
@@ -36,17 +36,14 @@ def zscore_flags(df: DataFrame, columns: Sequence[str], limit: float = 3.0) -> D
 
 
 def iqr_flags(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    row = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
     flag = F.lit(False)
-    for c in columns:
-        q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+    for c, (q1, q3) in percentile_limits(df, columns).items():
         flag = flag | F.coalesce((F.col(c) < q1 - k * (q3 - q1)) | (F.col(c) > q3 + k * (q3 - q1)), F.lit(False))
-    return df.crossJoin(F.broadcast(row)).withColumn("outlier", flag).drop(*row.columns)
+    return df.withColumn("outlier", flag)
 
 
 def percentile_limits(df: DataFrame, columns: Sequence[str], lower: float = 0.25, upper: float = 0.75) -> dict[str, tuple[float, float]]:
-    row = df.agg(*(F.percentile(c, F.array(F.lit(lower), F.lit(upper))).alias(c) for c in columns)).first()
-    return {c: (row[c][0], row[c][1]) for c in columns if row[c] is not None}
+    return {r["col"]: (r["q"][0], r["q"][1]) for r in quantiles(df, columns, [lower, upper]).collect()}  # a row for each column
 
 
 def balanced(df: DataFrame, columns: Sequence[str], rounds: int = 100, tolerance: float = 1e-7) -> DataFrame:

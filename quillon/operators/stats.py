@@ -16,10 +16,48 @@ def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
     return df.select(*keys, F.explode(cells).alias("_e")).select(*keys, "_e.col", "_e.x").filter("x is not null and not isnan(x)")
 
 
+STRIPES = 64
+
+
+def ranged(values: DataFrame, counts: Sequence[str]) -> DataFrame:
+    """Rows (col, x, counts) with distinct x in each col and, for each count c, before_c (its sum over smaller x), all_c (over all x), and after (the next
+    larger x, null for the largest).
+
+    A column's values are dealt to stripes between approximate quantiles, so no task holds all of them; sums of whole stripes, at most STRIPES + 1 a
+    column, are added up and joined back. The borders are constants of the plan: a task that is run again deals its rows alike."""
+    shares = F.array(*(F.lit(k / STRIPES) for k in range(1, STRIPES)))
+    borders = values.groupBy("col").agg(F.percentile_approx("x", shares, 10_000).alias("e")).collect()  # a row for each column
+    stripe = F.lit(0)
+    for r in borders:
+        inside = F.size(F.filter(F.array(*map(F.lit, sorted(set(r["e"])))), lambda e: e < F.col("x")))
+        stripe = F.when(F.col("col") == r["col"], inside).otherwise(stripe)
+    rows = values.withColumn("_s", stripe)
+    heads = rows.groupBy("col", "_s").agg(F.min("x").alias("_head"), *(F.sum(c).alias(f"_in_{c}") for c in counts))
+    order, whole, inside = Window.partitionBy("col").orderBy("_s"), Window.partitionBy("col"), Window.partitionBy("col", "_s").orderBy("x")
+    lower = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = [lower(f"_in_{c}", order).alias(f"_off_{c}") for c in counts]
+    heads = heads.select("col", "_s", F.lead("_head").over(order).alias("_ahead"), *offsets, *(F.sum(f"_in_{c}").over(whole).alias(f"all_{c}") for c in counts))
+    out = rows.select("*", F.lead("x").over(inside).alias("_lead"), *(lower(c, inside).alias(f"_low_{c}") for c in counts)).join(F.broadcast(heads), ["col", "_s"])
+    sums = {f"before_{c}": F.col(f"_off_{c}") + F.col(f"_low_{c}") for c in counts}
+    return out.withColumns(sums | {"after": F.coalesce("_lead", "_ahead")}).drop("_s", "_ahead", "_lead", *(f"_{k}_{c}" for k in ("off", "low") for c in counts))
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(col, q): exact quantiles with linear interpolation, in the order of the shares, for columns that have a value."""
+    at = ranged(melt(df, columns).groupBy("col", "x").agg(F.count("*").alias("n")), ["n"])
+    parts = []
+    for k, share in enumerate(shares):
+        h = F.lit(float(share)) * (F.col("all_n") - 1)
+        held = lambda i: (F.col("before_n") <= i) & (i < F.col("before_n") + F.col("n"))
+        parts += [F.max(F.when(held(F.floor(h)), F.col("x"))).alias(f"_a{k}"), F.max(F.when(held(F.ceil(h)), F.col("x"))).alias(f"_b{k}"), F.max(h - F.floor(h)).alias(f"_w{k}")]
+    row = at.groupBy("col").agg(*parts)
+    return row.select("col", F.array(*((1 - F.col(f"_w{k}")) * F.col(f"_a{k}") + F.col(f"_w{k}") * F.col(f"_b{k}") for k in range(len(shares)))).alias("q"))
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = melt(df, columns).groupBy("col").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("_q"), F.max("x").alias("max"))
-    return out.select("col", "n", "mean", "std", "min", *(F.col("_q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))), "max")
+    out = melt(df, columns).groupBy("col").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = out.join(F.broadcast(quantiles(df, columns, [0.25, 0.5, 0.75])), "col")  # a row for each column
+    return out.select("col", "n", "mean", "std", "min", *(F.col("q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))), "max")
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
@@ -39,12 +77,10 @@ def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def nearest_quantiles(df: DataFrame, column: str, n: int) -> DataFrame:
     """(k, x): element at index round-half-even(k / (n - 1) * (count - 1)) of the sorted values."""
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).count()
-    upto = F.sum("count").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    total = values.agg((F.sum("count") - 1).alias("last"))
+    values = melt(df, [column]).groupBy("col", "x").agg(F.count("*").alias("n"))
+    total = values.agg((F.sum("n") - 1).alias("last"))
     asked = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("k"), F.rint(k / float(n - 1) * F.col("last")).alias("at")))).alias("e")).select("e.k", "e.at")
-    spans = values.withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("count"))
-    return spans.join(F.broadcast(asked), (F.col("at") >= F.col("since")) & (F.col("at") < F.col("upto"))).select("k", "x")  # n rows
+    return ranged(values, ["n"]).join(F.broadcast(asked), (F.col("at") >= F.col("before_n")) & (F.col("at") < F.col("before_n") + F.col("n"))).select("k", "x")  # n rows
 
 
 def qq_pairs(a: DataFrame, b: DataFrame, column: str, n: int) -> DataFrame:
@@ -56,9 +92,8 @@ def wasserstein(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame
     both = melt(a, columns).groupBy("col", "x").agg(F.count("*").alias("p")).withColumn("q", F.lit(0).cast("long"))
     both = both.unionByName(melt(b, columns).groupBy("col", "x").agg(F.count("*").alias("q")).withColumn("p", F.lit(0).cast("long")))
     both = both.groupBy("col", "x").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    w, whole = Window.partitionBy("col").orderBy("x"), Window.partitionBy("col")
-    gap = F.abs(F.sum("p").over(w) / F.sum("p").over(whole) - F.sum("q").over(w) / F.sum("q").over(whole))
-    return both.select("col", (gap * (F.lead("x").over(w) - F.col("x"))).alias("d")).groupBy("col").agg(F.sum("d").alias("distance"))
+    gap = F.abs((F.col("before_p") + F.col("p")) / F.col("all_p") - (F.col("before_q") + F.col("q")) / F.col("all_q"))
+    return ranged(both, ["p", "q"]).select("col", (gap * (F.col("after") - F.col("x"))).alias("d")).groupBy("col").agg(F.sum("d").alias("distance"))
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,11 +105,10 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson of average ranks; ranks come from counts of distinct values, so ties cost nothing."""
-    base = df.select(*columns).dropna()
+    base = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
     for c in columns:
-        counts = base.groupBy(c).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
+        counts = base.groupBy(F.lit(c).alias("col"), F.col(c).alias("x")).agg(F.count("*").alias("n"))
+        ranks = ranged(counts, ["n"]).select(F.col("x").alias(c), (F.col("before_n") + (F.col("n") + 1) / 2).alias(f"_r_{c}"))
         base = base.join(ranks, c)
     return pearson(base.select(*(F.col(f"_r_{c}").alias(c) for c in columns)), columns)
 
@@ -97,16 +131,16 @@ def histogram_pair(a: DataFrame, b: DataFrame, column: str, bins: int) -> DataFr
 
 def scaled(df: DataFrame, columns: Sequence[str], how: str = "standard") -> DataFrame:
     """Columns by population standard deviation, min-max, or median and interquartile range; constants become 0."""
-    aggs = []
-    for c in columns:
-        x = F.col(c)
-        if how == "standard":
-            aggs += [F.avg(x).alias(f"_a_{c}"), F.stddev_pop(x).alias(f"_b_{c}")]
-        elif how == "minmax":
-            aggs += [F.min(x).alias(f"_a_{c}"), (F.max(x) - F.min(x)).alias(f"_b_{c}")]
-        else:
-            aggs += [F.median(x).alias(f"_a_{c}"), (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias(f"_b_{c}")]
-    out = df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row of parameters
+    if how == "robust":
+        q = {r["col"]: r["q"] for r in quantiles(df, columns, [0.25, 0.5, 0.75]).collect()}  # a row for each column
+        pairs = {c: (q[c][1], q[c][2] - q[c][0]) if c in q else (None, None) for c in columns}
+        out = df.withColumns({f"_{k}_{c}": F.lit(v).cast("double") for c, pair in pairs.items() for k, v in zip("ab", pair, strict=True)})
+    else:
+        aggs = []
+        for c in columns:
+            x = F.col(c)
+            aggs += [F.avg(x).alias(f"_a_{c}"), F.stddev_pop(x).alias(f"_b_{c}")] if how == "standard" else [F.min(x).alias(f"_a_{c}"), (F.max(x) - F.min(x)).alias(f"_b_{c}")]
+        out = df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row of parameters
     keep = [c for c in df.columns if c not in columns]
     return out.select(*keep, *(F.when(F.col(f"_b_{c}") > 0, (F.col(c) - F.col(f"_a_{c}")) / F.col(f"_b_{c}")).when(F.col(c).isNotNull(), F.lit(0.0)).alias(c) for c in columns))
 
