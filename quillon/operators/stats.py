@@ -23,8 +23,11 @@ def ranged(values: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Rows (col, x, counts) with distinct x in each col and, for each count c, before_c (its sum over smaller x), all_c (over all x), and after (the next
     larger x, null for the largest).
 
-    A column's values are dealt to stripes between approximate quantiles, so no task holds all of them; sums of whole stripes, at most STRIPES + 1 a
+    The values are checkpointed first, as they are read three times. A column's values are dealt to stripes between approximate quantiles, so no task holds all of them; sums of whole stripes, at most STRIPES + 1 a
     column, are added up and joined back. The borders are constants of the plan: a task that is run again deals its rows alike."""
+    from .graph import checkpointed
+
+    values = checkpointed(values)
     shares = F.array(*(F.lit(k / STRIPES) for k in range(1, STRIPES)))
     borders = values.groupBy("col").agg(F.percentile_approx("x", shares, 10_000).alias("e")).collect()  # a row for each column
     stripe = F.lit(0)
