@@ -463,7 +463,7 @@ def _scores(spark, d, communities=None):
     """Centrality of nations; communities are their regions unless others are given."""
     given = t(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("community")) if communities is None else communities
     e, late = edges(spark, d), trips(spark, d).groupBy(F.col("src").alias("id")).agg(F.avg("delay").alias("late"))
-    return G.centrality(given, e, G.betweenness(e, "n"), late)
+    return G.centrality(given, e, G.betweenness(e, "n"), late, None if communities is None else 0.0)  # the SQL has no mean over a constant column
 
 
 @query(f"WITH RECURSIVE {SCORES} SELECT id, community, weighted, round(betweenness, 6) AS betweenness, round(late, 6) AS late, round(fragility, 6) AS fragility FROM f")
@@ -543,7 +543,8 @@ def rerouted(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES}, {BETWEEN} SELECT n_name AS id, round(coalesce(score, 0), 6) AS score FROM nation LEFT JOIN between ON id = n_name")
 def betweenness(spark, d):
-    return rounded(G.betweenness(edges(spark, d), "n"))
+    nations = t(spark, d, "nation").select(F.col("n_name").alias("id"))
+    return rounded(nations.join(G.betweenness(edges(spark, d), "n"), "id", "left").fillna(0.0, ["score"]))
 
 
 @query()
