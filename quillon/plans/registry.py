@@ -460,9 +460,10 @@ f AS (SELECT *, ((betweenness - min(betweenness) OVER ()) / nullif(max(betweenne
 
 
 def _scores(spark, d, communities=None):
-    """Centrality of nations; communities are their regions unless others are given."""
-    given = t(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("community")) if communities is None else communities
-    e, late = edges(spark, d), trips(spark, d).groupBy(F.col("src").alias("id")).agg(F.avg("delay").alias("late"))
+    """Centrality of nations; communities are their regions unless they are given, by a function of the routes. Trips are read once."""
+    e = G.checkpointed(trips(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("delay").alias("total"), F.count("delay").alias("seen")))
+    given = t(spark, d, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").alias("community")) if communities is None else communities(e)
+    late = e.groupBy(F.col("src").alias("id")).agg((F.sum("total") / F.nullif(F.sum("seen"), F.lit(0))).alias("late"))
     return G.centrality(given, e, G.betweenness(e, "n"), late, None if communities is None else 0.0)  # the SQL has no mean over a constant column
 
 
@@ -473,7 +474,7 @@ def centrality_table(spark, d):
 
 @query()
 def centrality_louvain(spark, d):
-    return rounded(_scores(spark, d, G.louvain(edges(spark, d), "n")))
+    return rounded(_scores(spark, d, lambda e: G.louvain(e, "n")))
 
 
 @query(f"WITH RECURSIVE {SCORES} SELECT id, round(fragility, 6) AS fragility, CAST(dense_rank() OVER (ORDER BY round(fragility, 6) DESC) AS INT) AS rank FROM f")
