@@ -58,26 +58,31 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = 8000, holdout:
     return fit
 
 
-def score_quality(docs: DataFrame, fit: Fit, holdout: int = 5, threshold: float = 0.3) -> DataFrame:
-    """All columns of docs with held_out, score and predicted in front."""
+def score_batches(batches: Iterator[pa.RecordBatch], fit: Fit, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Scores in front of the columns to keep. Blocks are of 1 MB of text: working arrays take about 30 bytes for each of its bytes,
+    and two workers share an executor's memory with the JVM."""
+    for batch in blocks(batches):
+        block = Block(batch.column("text"))
+        doc, ids = quality_features(block)
+        p = fit.probability(fit.block_margin(block.n_docs, doc, ids) + np.zeros(block.n_docs))
+        yield pa.RecordBatch.from_arrays([pa.array(p), *(batch.column(c) for c in keep)], ["_score", *keep])
+
+
+def score_quality(docs: DataFrame, fit: Fit, holdout: int = 5, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs to keep (all, unless named) with held_out, score and predicted in front. Others don't come back from Python."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit)
     columns = [c for c in docs.columns if c.lower() not in ("_score", "held_out", "score", "predicted")]
-    schema = ", ".join(["_score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in columns)).schema)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, size=3 << 20):
-            block = Block(batch.column("text"))
-            doc, ids = quality_features(block)
-            p = model.value.probability(model.value.block_margin(block.n_docs, doc, ids) + np.zeros(block.n_docs))
-            yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns], ["_score", *batch.schema.names])
-
-    out = docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
+    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
+    kept = [f for f in docs.schema if keep is None or f.name in keep]
+    names = [f.name for f in kept]
+    schema = ", ".join(["_score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
+    out = docs.mapInArrow(lambda batches: score_batches(batches, model.value, names), schema)
     held = F.coalesce(crc_mod(F.col("doc_id"), holdout) == 0, F.lit(False))
-    return out.select(held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), *(F.col(f"`{c}`") for c in columns))
+    return out.select(held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), *(F.col(f"`{c}`") for c in names))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, most: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     ship(docs.sparkSession)
-    return score_quality(docs.select("doc_id", "text"), train_quality(docs, labels, most)).select("doc_id", "held_out", "score", "predicted")
+    return score_quality(docs.select("doc_id", "text"), train_quality(docs, labels, most), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
