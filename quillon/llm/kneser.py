@@ -1,11 +1,9 @@
 """Quality rules with a modified Kneser-Ney character model and language-specific perplexity bands.
 
 Base rules count words, symbols, repeated lines and repeated five-word windows of the whole text. The language model is a
-4-gram model over 48 symbols: bytes of UTF-8 folded by `SYMBOL` (letters without case, digits, kinds of punctuation, white
-space, and 13 classes of the bytes of other scripts). Spark counts the 4-grams of every document by language; lower orders
-are continuation counts of those. A model has at most 48^4 = 5.3 million entries of 8 bytes whatever the corpus, so it has a
-proven size bound: two sorted arrays, hashes of 4-grams (packed symbols, so they never collide) and their log probabilities,
-searched by bisection, and dense arrays for the orders below. Languages are gathered in blocks of at most `block_entries` entries (one
+4-gram model over the bytes of UTF-8 as they are: no two bytes share a symbol or a count. Spark counts the 4-grams of every document by language; lower orders
+are continuation counts of those. Each order is two sorted arrays, hashes of n-grams (packed bytes, so they never collide) and their log probabilities,
+searched by bisection, as long as the n-grams that occur (8 bytes each). Languages are gathered in blocks of at most `block_entries` entries (one
 language at least). With one block, documents stay where they are; with more, they are dealt out by block, salted, and a task holds
 the models of one block at a time, so all documents are read once. A document is scored by the model of its own language alone, so its
 score doesn't depend on the blocks or on other languages.
@@ -30,28 +28,10 @@ from pyspark.sql import functions as F
 from .runtime import cut, maybe_broadcast, ship
 from .textkit import Block, blocks, signed
 
-S, ORDER = 48, 4
-PAD = 28
-
-
-def _symbols() -> np.ndarray:
-    out = np.full(256, 32, np.uint8)  # other ASCII punctuation
-    for b in range(256):
-        c = chr(b)
-        if c.isascii() and c.isalpha():
-            out[b] = ord(c.lower()) - 97
-        elif b >= 128:
-            out[b] = 35 + b % 13
-        elif c.isdigit():
-            out[b] = 26
-        elif b < 32 or b == 127:
-            out[b] = 28 if c == "\n" else 27 if c in "\t\r\v\f" else 34
-    for chars, k in ((" ", 27), (".", 29), (",", 30), ("'\"`", 31), ("#*$%&|<>", 33)):
-        out[[ord(c) for c in chars]] = k
-    return out
-
-
-SYMBOL = _symbols()
+S, ORDER = 256, 4
+PAD = 10
+SYMBOL = np.arange(S, dtype=np.uint8)  # every byte is a symbol of its own
+HELD = 2_000_000  # n-grams that a task holds before it passes its sums on
 MARKS = np.zeros(256, bool)
 MARKS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -59,13 +39,21 @@ MARKS[[ord(c) for c in "#*$%&|<>"]] = True
 def packed(block: Block) -> np.ndarray:
     """The packed 4-gram that ends at each byte of the block; each document is preceded by three line ends."""
     lengths = np.diff(block.off)
-    padded = np.full(len(block.data) + 3 * block.n_docs + 3, PAD, np.int32)
+    padded = np.full(len(block.data) + 3 * block.n_docs + 3, PAD, np.uint32)
     at = np.arange(len(block.data)) + 3 * (np.repeat(np.arange(block.n_docs), lengths) + 1)
     padded[at] = SYMBOL[block.data]
-    keys = ((padded[:-3] * S + padded[1:-2]) * S + padded[2:-1]) * S + padded[3:]
+    keys = ((padded[:-3] << 8 | padded[1:-2]) << 8 | padded[2:-1]) << 8 | padded[3:]
     return keys[at - 3]
 
 
+def distinct_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
 def by_language(batch: pa.RecordBatch, order: dict[str, int] | None = None) -> Iterator[tuple[str, np.ndarray]]:
     langs = np.array(batch.column("_lang").to_pylist(), object)
     for lang in sorted(set(langs), key=lambda x: (order[x] if order else 0, x)):
@@ -73,43 +61,52 @@ def by_language(batch: pa.RecordBatch, order: dict[str, int] | None = None) -> I
 
 
 def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, n) of this task; sums are kept for a few languages at a time."""
-    sums: dict[str, np.ndarray] = {}
+    """(lang, key, n) of this task; sums are kept until they are HELD n-grams in all. Keys are unsigned 32-bit numbers in signed ones."""
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, total in sums.items():
-            keys = np.flatnonzero(total)
+        for lang, (keys, total) in sums.items():
             for k in range(0, len(keys), 500_000):
                 part = keys[k : k + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int32)), pa.array(total[k : k + 500_000])], ["lang", "key", "n"])
         sums.clear()
 
-    for batch in blocks(batches, size=6 << 20):
+    for batch in blocks(batches, size=2 << 20):
         for lang, rows in by_language(batch):
-            if lang not in sums:
-                if len(sums) >= 5:
-                    yield from flush()
-                sums[lang] = np.zeros(S**ORDER, np.uint32)
-            sums[lang] += np.bincount(packed(Block(batch.column("text").take(pa.array(rows)))), minlength=S**ORDER).astype(np.uint32)
+            keys, n = np.unique(packed(Block(batch.column("text").take(pa.array(rows)))), return_counts=True)
+            if lang in sums:
+                keys, n = distinct_sums(np.concatenate([sums[lang][0], keys]), np.concatenate([sums[lang][1], n]))
+            sums[lang] = keys, n.astype(np.int64)
+        if sum(len(k) for k, _ in sums.values()) > HELD:
+            yield from flush()
     yield from flush()
 
 
 class Model:
-    """keys, logs: sorted 4-grams and log10 p; gamma: log10 back-off weight of 3-symbol contexts; lower: log10 p of 3-grams."""
+    """For each order a sorted array of its n-grams (packed bytes) and one of their log10 p, and, likewise, of contexts and their log10
+    back-off weights; single bytes are dense. All are as long as the n-grams that occur."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        p = np.full(S, 1.0 / S)
-        grams = [np.unique(keys % S**k) for k in (1, 2, 3)]  # distinct lower-order n-grams
-        for k in (1, 2, 3):
-            upper = grams[k] if k < 3 else keys
-            cont = np.bincount(upper % S**k, minlength=S**k).astype(float)  # continuation counts
-            p = self._interpolate(cont, p, S ** (k - 1))[0]
-        dense = np.log10(p)
         order = np.argsort(keys)
-        self.keys = keys[order].astype(np.int32)
-        c = counts[order].astype(float)
-        prob, back = self._sparse(self.keys.astype(np.int64), c, p)
-        self.logs, self.gamma, self.lower = np.log10(prob).astype(np.float32), np.log10(back).astype(np.float32), dense.astype(np.float32)
+        grams, c = keys[order].astype(np.int64), counts[order].astype(float)
+        tables = {ORDER: (grams, c)}
+        for k in range(ORDER - 1, 0, -1):  # lower orders: continuation counts of the n-grams above
+            below, c = np.unique(tables[k + 1][0] % S**k, return_counts=True)
+            tables[k] = below, c.astype(float)
+        self.keys: dict[int, np.ndarray] = {}
+        self.logs: dict[int, np.ndarray] = {}
+        self.contexts: dict[int, np.ndarray] = {}
+        self.gamma: dict[int, np.ndarray] = {}
+        self.base = float(np.log10(1.0 / S))
+        for k in range(1, ORDER + 1):
+            grams, c = tables[k]
+            d = self.discounts(c)[np.minimum(c, 3).astype(int)]
+            contexts, at = np.unique(grams // S, return_inverse=True)
+            total = np.bincount(at, weights=c, minlength=len(contexts))
+            gamma = np.bincount(at, weights=d, minlength=len(contexts)) / np.maximum(total, 1)
+            p = (c - d) / total[at] + gamma[at] * 10.0 ** self._lower(grams % S ** (k - 1), k - 1)
+            self.keys[k], self.logs[k] = grams.astype(np.uint32), np.log10(p).astype(np.float32)
+            self.contexts[k], self.gamma[k] = contexts.astype(np.uint32), np.log10(gamma).astype(np.float32)
 
     @staticmethod
     def discounts(c: np.ndarray) -> np.ndarray:
@@ -120,28 +117,30 @@ class Model:
         y = n[1] / (n[1] + 2 * n[2])
         return np.array([0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))])
 
-    @classmethod
-    def _interpolate(cls, c: np.ndarray, lower: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-        table = c.reshape(contexts, S)
-        d = cls.discounts(c)[np.minimum(table, 3).astype(int)]
-        total = table.sum(axis=1, keepdims=True)
-        gamma = np.where(total > 0, d.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-        # p of a context (a, b) backs off to that of (b): the lower order's table repeats for each first symbol
-        below = np.broadcast_to(lower.reshape(1, -1), (max(1, contexts * S // lower.size), lower.size)).reshape(contexts, S)
-        return ((table - d) / np.maximum(total, 1) + gamma * below).ravel(), gamma.ravel()
-
-    def _sparse(self, keys: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        context = keys // S
-        d = self.discounts(c)[np.minimum(c, 3).astype(int)]
-        total = np.bincount(context, weights=c, minlength=S**3)
-        gamma = np.where(total > 0, np.bincount(context, weights=d, minlength=S**3) / np.maximum(total, 1), 1.0)
-        return (c - d) / total[context] + gamma[context] * lower[keys % S**3], gamma
+    @staticmethod
+    def _find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+        at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+        return at, keys[at] == q
+
+    def _lower(self, q: np.ndarray, k: int) -> np.ndarray:
+        """log10 p of n-grams of k bytes: found, or the back-off weight of their context (1 if it never occurs) and the order below."""
+        if k == 0:
+            return np.full(len(q), self.base)
+        q = q.astype(np.uint32)
+        at, hit = self._find(self.keys[k], q)
+        out = np.where(hit, self.logs[k][at] if len(self.keys[k]) else 0.0, 0.0)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            less = q[miss]
+            at, known = self._find(self.contexts[k], less // np.uint32(S))
+            back = np.where(known, self.gamma[k][at] if len(self.contexts[k]) else 0.0, 0.0)
+            out[miss] = back + self._lower(less % np.uint32(S ** (k - 1)), k - 1)
+        return out
 
     def score(self, q: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, q)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == q
-        return np.where(hit, self.logs[at], self.gamma[q // S] + self.lower[q % S**3])
+        return self._lower(q, ORDER)
 
 
 def rules(block: Block, columns: dict[str, np.ndarray]) -> None:
@@ -199,8 +198,8 @@ def quality_rules(docs: DataFrame, width: float = 2.5, noise: float = 0.4, block
     for langs in groups:
         models = {}
         for x in langs:
-            table = counts.filter(F.col("lang") == x).select("key", "n").toArrow()  # at most 48^4 rows
-            models[x] = Model(table["key"].to_numpy().astype(np.int64), table["n"].to_numpy())
+            table = counts.filter(F.col("lang") == x).select("key", "n").toArrow()  # the distinct 4-grams of a language
+            models[x] = Model(table["key"].to_numpy().view(np.uint32).astype(np.int64), table["n"].to_numpy())
         sent.append(spark.sparkContext.broadcast(models))
     block_of = {x: k for k, langs in enumerate(groups) for x in langs}
 
